@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import crosssplit, repetition
+from glyphmill.llm import crosssplit, languages, leakage, prose, reading, repetition
 from glyphmill.session import read_table
 
 
@@ -30,6 +30,46 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return crosssplit.report(read_table(spark, d, "split_texts"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.found(*(read_table(spark, d, t) for t in ("documents", "generations", "stylometric_features")))
+
+
+def p4_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.levels(*(read_table(spark, d, t) for t in ("documents", "generations", "stylometric_features")))
+
+
+def p4_word_grades(spark: SparkSession, d: str) -> DataFrame:
+    return reading.word_grades(reading.graded_texts(read_table(spark, d, "generations"), read_table(spark, d, "stylometric_features")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return prose.found(read_table(spark, d, "documents"))
+
+
+def p5_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return prose.statistics(read_table(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.found(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.report(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.found(read_table(spark, d, "documents"))
+
+
+def p10_documents(spark: SparkSession, d: str) -> DataFrame:
+    return languages.document_languages(read_table(spark, d, "documents"))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    return languages.segments(read_table(spark, d, "documents"))
+
+
 def p6_ledger(spark: SparkSession, d: str) -> DataFrame:
     return repetition.ledger(_texts(spark, d, "documents", "generations"))
 
@@ -47,6 +87,6 @@ def p6_ablation(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_report, p6_found, p6_ledger, p6_policies, p6_ablation)
+    f.__name__: f for f in (p3_found, p3_report, p4_found, p4_levels, p4_word_grades, p5_found, p5_statistics, p6_found, p6_ledger, p6_policies, p6_ablation, p8_found, p8_report, p10_found, p10_documents, p10_segments)
 }
 ORACLE: dict[str, str] = {}
