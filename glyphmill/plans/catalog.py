@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from glyphmill.plans import filling
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+for _module in (filling,):
+    QUERIES |= _module.QUERIES
+    ORACLE |= _module.ORACLE
