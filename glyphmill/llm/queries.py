@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import crosssplit, languages, leakage, prose, reading, repetition
+from glyphmill.llm import crosssplit, languages, leakage, mixing, proportions, prose, reading, repetition
 from glyphmill.session import read_table
 
 
@@ -22,6 +22,18 @@ def _texts(spark: SparkSession, d: str, *tables: str) -> DataFrame:
     return out
 
 
+def p1_sample(spark: SparkSession, d: str) -> DataFrame:
+    return proportions.sample(read_table(spark, d, "generations"), read_table(spark, d, "target_shares"))[0]
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return proportions.sample(read_table(spark, d, "generations"), read_table(spark, d, "target_shares"))[1]
+
+
+def p1_unmet(spark: SparkSession, d: str) -> DataFrame:
+    return p1_report(spark, d).filter("not target_met or not minimum_met")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return crosssplit.found(read_table(spark, d, "split_texts"))
 
@@ -58,6 +70,14 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.report(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))[0]
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return languages.found(read_table(spark, d, "documents"))
 
@@ -87,6 +107,6 @@ def p6_ablation(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_report, p4_found, p4_levels, p4_word_grades, p5_found, p5_statistics, p6_found, p6_ledger, p6_policies, p6_ablation, p8_found, p8_report, p10_found, p10_documents, p10_segments)
+    f.__name__: f for f in (p1_sample, p1_report, p1_unmet, p3_found, p3_report, p4_found, p4_levels, p4_word_grades, p5_found, p5_statistics, p6_found, p6_ledger, p6_policies, p6_ablation, p8_found, p8_report, p9_mix, p9_report, p10_found, p10_documents, p10_segments)
 }
 ORACLE: dict[str, str] = {}
