@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from glyphmill.plans import filling
+from glyphmill.plans import filling, stylometry
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (filling,):
+for _module in (filling, stylometry):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
