@@ -63,19 +63,23 @@ def tokens(documents: DataFrame) -> DataFrame:
     return kinds.withColumns({"is_stop": F.col("lower").isin(*sorted(STOP_WORDS)), "pos": F.expr(pos_case())})
 
 
-def oracle(*names: str) -> str:
-    """The same tables as CTEs of the oracle's SQL, ending in a comma-free list after WITH."""
+def oracle(*names: str) -> tuple[str, ...]:
+    """The same tables as CTEs of the oracle's SQL, in order."""
     parts = {
-        "sents": f"""sents AS (SELECT doc_id, x.i AS sent_idx, trim(regexp_replace(x.s, '^\\s+|\\s+$', '', 'g')) AS sent FROM (
+        "sents": (
+            f"""sents AS (SELECT doc_id, x.i AS sent_idx, trim(regexp_replace(x.s, '^\\s+|\\s+$', '', 'g')) AS sent FROM (
             SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '{SENTENCE}'), lambda s, i: {{'i': i - 1, 's': s}})) AS x FROM documents WHERE text IS NOT NULL) AS q
             WHERE regexp_matches(x.s, '\\S'))""",
-        "tokens": rf"""tok0 AS (SELECT doc_id, sent_idx, unnest(list_transform(regexp_extract_all(sent, '{TOKEN.replace("'", "''")}'), lambda s, i: {{'i': i, 's': s}})) AS y FROM sents),
-          tok1 AS (SELECT doc_id, sent_idx, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx, y.i) - 1 AS tok_idx, y.s AS text, lower(y.s) AS lower,
-            regexp_matches(y.s, '^\p{{L}}') AS is_alpha, regexp_matches(y.s, '^\p{{N}}') AS is_num, regexp_matches(y.s, '^[^\p{{L}}\p{{N}}]') AS is_punct FROM tok0),
-          tokens AS (SELECT *, lower IN ({listed(sorted(STOP_WORDS))}) AS is_stop, {pos_case()} AS pos FROM tok1)""",
-        "entities": "entities AS (" + ENTITIES_SQL + ")",
+        ),
+        "tokens": (
+            f"""tok0 AS (SELECT doc_id, sent_idx, unnest(list_transform(regexp_extract_all(sent, '{TOKEN.replace("'", "''")}'), lambda s, i: {{'i': i, 's': s}})) AS y FROM sents)""",
+            r"""tok1 AS (SELECT doc_id, sent_idx, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx, y.i) - 1 AS tok_idx, y.s AS text, lower(y.s) AS lower,
+            regexp_matches(y.s, '^\p{L}') AS is_alpha, regexp_matches(y.s, '^\p{N}') AS is_num, regexp_matches(y.s, '^[^\p{L}\p{N}]') AS is_punct FROM tok0)""".replace("\\\\", "\\"),
+            f"""tokens AS (SELECT *, lower IN ({listed(sorted(STOP_WORDS))}) AS is_stop, {pos_case()} AS pos FROM tok1)""",
+        ),
+        "entities": ("entities AS (" + ENTITIES_SQL + ")",),
     }
-    return ", ".join(parts[n] for n in names)
+    return tuple(cte for n in names for cte in parts[n])
 
 
 #: Capitalised words that don't begin a sentence stand in for named entities.

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from glyphmill.plans import filling, stylometry
+from glyphmill.plans import discourse, filling, stylometry
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (filling, stylometry):
+for _module in (filling, stylometry, discourse):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE

@@ -15,10 +15,10 @@ from glyphmill.operators import contracts
 from glyphmill.session import read_table
 
 #: Contract tables by name: how Spark makes them, and the CTEs the oracle needs.
-CONTRACTS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+CONTRACTS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], tuple[str, ...]]] = {}
 
 
-def contract(name: str, make: Callable[[SparkSession, str], DataFrame], ctes: str) -> None:
+def contract(name: str, make: Callable[[SparkSession, str], DataFrame], ctes: tuple[str, ...]) -> None:
     CONTRACTS[name] = (make, ctes)
 
 
@@ -49,9 +49,7 @@ def query(name: str, sql: str, tables: tuple[str, ...], spark_sql: str | None =
     run.__name__ = name
     seen: list[str] = []
     for t in tables:
-        if t in CONTRACTS and CONTRACTS[t][1]:
-            seen += [c for c in [CONTRACTS[t][1]] if c not in seen]
-    seen = [c for c in seen if not any(c is not o and c in o for o in seen)]
+        seen += [c for c in CONTRACTS.get(t, (None, ()))[1] if c not in seen]
     if not seen:
         return run, sql
     body = sql.lstrip()

@@ -108,7 +108,7 @@ _lexicon = " UNION ALL ".join(f"SELECT '{w}' AS word, CAST({p} AS DOUBLE) AS pol
 SQL["sentiment_lexicon"] = (f"""
 WITH lex AS ({_lexicon}), t AS (SELECT tk.doc_id, tk.sent_idx, tk.is_alpha, l.polarity, l.subjectivity FROM tokens AS tk LEFT JOIN lex AS l ON l.word = tk.lower),
 s AS (SELECT doc_id, sent_idx, coalesce(avg(polarity), 0) AS p FROM t GROUP BY doc_id, sent_idx),
-a AS (SELECT doc_id, round(var_pop(p), 4) AS sentiment_polarity_variance, round(avg(CASE WHEN abs(p) < 0.1 THEN 1.0e0 ELSE 0.0e0 END), 6) AS neutral_sentence_ratio FROM s GROUP BY doc_id),
+a AS (SELECT doc_id, round(var_pop(p) + 1e-9, 5) AS sentiment_polarity_variance, round(avg(CASE WHEN abs(p) < 0.1 THEN 1.0e0 ELSE 0.0e0 END), 6) AS neutral_sentence_ratio FROM s GROUP BY doc_id),
 w AS (SELECT doc_id, round(coalesce(avg(polarity), 0), 6) AS sentiment_polarity, round(coalesce(avg(subjectivity), 0), 6) AS sentiment_subjectivity,
   round(coalesce(CAST(sum(CASE WHEN polarity > 0.1 THEN 1 ELSE 0 END) AS DOUBLE) / NULLIF(sum(CASE WHEN is_alpha THEN 1 ELSE 0 END), 0), 0), 6) AS positive_word_ratio,
   round(coalesce(CAST(sum(CASE WHEN polarity < -0.1 THEN 1 ELSE 0 END) AS DOUBLE) / NULLIF(sum(CASE WHEN is_alpha THEN 1 ELSE 0 END), 0), 0), 6) AS negative_word_ratio FROM t GROUP BY doc_id)
