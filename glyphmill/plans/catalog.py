@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from glyphmill.plans import coherent, discourse, filling, stylometry
+from glyphmill.plans import coherent, discourse, filling, stylometry, temporal
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (filling, stylometry, discourse, coherent):
+for _module in (filling, stylometry, discourse, coherent, temporal):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
