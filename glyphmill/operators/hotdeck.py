@@ -132,7 +132,8 @@ def _filler(n_fields: int, n_numeric: int, n_categories: int, text: list[bool],
                     number, word = _weighted_median(picked.astype(float), weight), None
                 for k, v in zip(out, (keys[r], f, number, word, keys[donors[near[0]]])):
                     out[k].append(v)
-        return pd.DataFrame(out)
+        kinds = {f"{P}f": "int32", f"{P}number": "float64", f"{P}text": "object"}
+        return pd.DataFrame({k: pd.Series(v, dtype=kinds.get(k, run[f"{P}key"].dtype)) for k, v in out.items()})
 
     return fill
 

@@ -31,3 +31,88 @@ def take_by_quota(rows: DataFrame, quotas: DataFrame, groups: list[str], key: st
     rank = F.row_number().over(W.partitionBy(*groups, "__bin").orderBy(key, tie))
     part = placed.filter("__before + __n > __quota").withColumn("__rank", rank).filter("__before + __rank <= __quota").drop("__rank")
     return whole.unionByName(part).select(*rows.columns)
+
+
+def order_key(*parts: Column, seed: str) -> Column:
+    """The md5 of id and seed: a random order that every engine computes alike."""
+    return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts], F.lit(seed)))
+
+
+def largest_remainder(weights: DataFrame, total: int, key: str = "key", weight: str = "weight", order: str = "ord") -> DataFrame:
+    """key, quota: floors of the shares, and one more for the largest remainders (earlier ``order`` first)."""
+    every = W.partitionBy(F.lit(1))
+    share = weights.withColumn("__x", F.coalesce(F.try_divide(F.col(weight), F.sum(weight).over(every)), 1.0 / F.count("*").over(every)) * total)
+    parts = share.withColumns({"__f": F.floor(F.round("__x", 9)).cast("bigint")}).withColumn("__r", F.round(F.col("__x") - F.col("__f"), 9))
+    left = F.lit(total) - F.sum("__f").over(every)
+    return parts.withColumns({"__k": F.row_number().over(W.orderBy(F.desc("__r"), order)), "__left": left}).select(key, (F.col("__f") + (F.col("__k") <= F.col("__left")).cast("bigint")).alias("quota"))
+
+
+def proportional_allocation(available: DataFrame, total: int, key: str = "key", count: str = "n", order: str = "ord") -> DataFrame:
+    """key, quota in proportion to what is there, at most that; all of it if ``total`` exceeds the sum."""
+    whole = available.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    if total >= whole:
+        return available.select(key, F.col(count).cast("bigint").alias("quota"))
+    return largest_remainder(available, total, key, count, order)
+
+
+def length_bins(df: DataFrame, length: str, weights: dict[str, float]) -> DataFrame:
+    """``df`` with ``length_bin``: bins by rising weight, bounded at the percentiles of the cumulated weights."""
+    order = sorted(weights, key=lambda k: weights[k])
+    total = sum(weights.values()) or 1.0
+    at, points = 0.0, []
+    for k in order[:-1]:
+        at += weights[k] / total
+        points.append(at)
+    if not points:
+        return df.withColumn("length_bin", F.lit(order[0]))
+    limits = df.agg(F.percentile(length, F.array(*map(F.lit, points))).alias("__limits"))
+    out = F.lit(order[-1])
+    for i in reversed(range(len(points))):
+        out = F.when(F.col(length) <= F.col("__limits")[i], order[i]).otherwise(out)
+    return df.crossJoin(F.broadcast(limits)).withColumn("length_bin", F.when(F.col(length).isNotNull(), out)).drop("__limits")
+
+
+def stratified(df: DataFrame, groups: list[str], total: int, key: str, seed: str = "s") -> DataFrame:
+    """About ``total`` rows, split evenly over the values of the first group and in proportion inside.
+
+    Quotas come from a table of counts; rows are drawn in md5 order by histogram, so no stratum is sorted whole.
+    """
+    counts = df.dropna(subset=groups).groupBy(*groups).agg(F.count("*").alias("n"))
+    first, rest = groups[0], groups[1:]
+    heads = counts.groupBy(first).agg(F.sum("n").alias("n"))
+    every = W.partitionBy(F.lit(1))
+    share = heads.withColumns({"__k": F.row_number().over(W.orderBy(first)), "__m": F.count("*").over(every)})
+    head = share.select(first, (F.floor(F.lit(total) / F.col("__m")) + (F.col("__k") <= F.lit(total) % F.col("__m")).cast("int")).alias("__head"))
+    inner = counts.join(head, first)
+    in_head = W.partitionBy(first)
+    x = F.round(F.least(F.col("__head"), F.sum("n").over(in_head)) * F.col("n") / F.sum("n").over(in_head), 9)
+    parts = inner.withColumn("__x", x).withColumn("__f", F.floor("__x").cast("bigint"))
+    left = F.least(F.col("__head"), F.sum("n").over(in_head)) - F.sum("__f").over(in_head)
+    ranked = parts.withColumns({"__left": left, "__k": F.row_number().over(in_head.orderBy(F.desc(F.round(F.col("__x") - F.col("__f"), 9)), *rest))})
+    quotas = ranked.select(*groups, (F.col("__f") + (F.col("__k") <= F.col("__left")).cast("bigint")).alias("quota"))
+    drawn = df.dropna(subset=groups).withColumn("__md5", order_key(F.col(key), seed=seed)).withColumn("__u", F.conv(F.substr("__md5", F.lit(1), F.lit(12)), 16, 10).cast("double") / F.lit(float(1 << 48)))
+    return take_by_quota(drawn, quotas, groups, "__u", "__md5").select(*df.columns)
+
+
+def balance(df: DataFrame, dimensions: list[str], targets: dict[tuple[str, str], float] | None = None) -> DataFrame:
+    """dimension, category, n, actual share and target share of each category."""
+    every = W.partitionBy("dimension")
+    cells = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("category")) for d in dimensions])
+    counts = df.select(F.inline(cells)).groupBy("dimension", "category").agg(F.count("*").alias("n"))
+    target = F.lit(None).cast("double")
+    for (d, c), w in (targets or {}).items():
+        target = F.when((F.col("dimension") == d) & (F.col("category") == c), w).otherwise(target)
+    return counts.select("dimension", "category", "n", F.round(F.col("n") / F.sum("n").over(every), 6).alias("actual"), target.alias("target"))
+
+
+def train_test(df: DataFrame, label: str, key: str, test: float = 0.2, seed: str = "split") -> DataFrame:
+    """``df`` with ``part`` train or test, the same share of each class, by md5 order."""
+    rank = F.row_number().over(W.partitionBy(label).orderBy(order_key(F.col(key), seed=seed), key))
+    size = F.count("*").over(W.partitionBy(label))
+    return df.withColumn("part", F.when(rank <= F.floor(size * test), "test").otherwise("train"))
+
+
+def folds(df: DataFrame, label: str, key: str, k: int = 5, seed: str = "fold") -> DataFrame:
+    """``df`` with ``fold``: consecutive md5 ranks of each class go round the folds."""
+    rank = F.row_number().over(W.partitionBy(label).orderBy(order_key(F.col(key), seed=seed), key))
+    return df.withColumn("fold", ((rank - 1) % k).cast("int"))
