@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from glyphmill.plans import coherent, discourse, filling, stylometry, tables, temporal
+from glyphmill.plans import coherent, discourse, filling, learning, stylometry, tables, temporal
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (tables, filling, stylometry, discourse, coherent, temporal):
+for _module in (tables, filling, stylometry, discourse, coherent, temporal, learning):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
