@@ -9,13 +9,13 @@ donor is named.
 
 Cases: null in any feature leaves it out of the distance; records equal in all features tie and are taken
 by key; repeated rows are filled alike; a value without any donor in the whole table stays null with state
-'unfilled'; empty tables give no rows; extra columns pass through untouched; helper columns carry a
-reserved prefix and can't clash.
+'unfilled'; empty tables give no rows; extra columns pass through untouched, but columns already named like a
+state or donor are replaced; helper columns carry a reserved prefix and can't clash.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -36,7 +36,8 @@ class Deck:
 
     fields: column to the condition that its value is missing; numeric: features for distances;
     categories: features that must agree for a distance of 0; levels: block keys from fine to
-    coarse; order: the feature along which large blocks are cut.
+    coarse; order: the feature along which large blocks are cut; weights: of numeric features in the
+    distance, 1 unless given.
     """
 
     key: str
@@ -45,11 +46,12 @@ class Deck:
     categories: dict[str, Column]
     levels: tuple[tuple[Column, ...], ...]
     order: Column
+    weights: dict[str, float] = field(default_factory=dict)
 
 
 def mark(df: DataFrame, deck: Deck) -> DataFrame:
-    """``df`` with a boolean ``<field>_missing`` for each field."""
-    return df.withColumns({f"{f}_missing": F.coalesce(c, F.lit(True)) for f, c in deck.fields.items()})
+    """``df`` with a boolean helper column for each field: whether its value is missing."""
+    return df.withColumns({f"{P}m{i}": F.coalesce(c, F.lit(True)) for i, c in enumerate(deck.fields.values())})
 
 
 def _prepared(df: DataFrame, deck: Deck) -> DataFrame:
@@ -102,12 +104,13 @@ def _weighted_median(values: np.ndarray, weights: np.ndarray) -> float:
     return values[order][int(np.searchsorted(cum, cum[-1] / 2))]
 
 
-def _filler(n_fields: int, n_numeric: int, n_categories: int, text: list[bool], scales: list[float], key_type: str):
+def _filler(n_fields: int, n_numeric: int, n_categories: int, text: list[bool], scales: list[float], weights: list[float]):
     def fill(run: pd.DataFrame) -> pd.DataFrame:
         numeric = run[[f"{P}n{i}" for i in range(n_numeric)]].to_numpy(float) / np.array(scales)
         categories = run[[f"{P}c{i}" for i in range(n_categories)]].apply(lambda c: pd.factorize(c)[0]).to_numpy() if n_categories else np.zeros((len(run), 0), int)
         keys, asked = run[f"{P}key"].to_numpy(), run[f"{P}f"].to_numpy()
         values = [run[f"{P}v{i}"].to_numpy() for i in range(n_fields)]
+        importance = np.array(weights, float)
         donors_all = np.flatnonzero(asked < 0)
         out: dict[str, list] = {f"{P}key": [], f"{P}f": [], f"{P}number": [], f"{P}text": [], f"{P}donor": []}
         for f in range(n_fields):
@@ -119,7 +122,7 @@ def _filler(n_fields: int, n_numeric: int, n_categories: int, text: list[bool],
                 gap = np.minimum(np.abs(numeric[donors] - numeric[r]), 3.0)
                 known = ~np.isnan(gap)
                 same = (categories[donors] == categories[r]) & (categories[r] >= 0)
-                distance = (np.where(known, gap, 0).sum(1) + (~same).sum(1) * 0.5) / np.maximum(1, known.sum(1) + categories.shape[1])
+                distance = (np.where(known, gap, 0) @ importance + (~same).sum(1) * 0.5) / np.maximum(1, known @ importance + categories.shape[1])
                 near = np.argsort(distance, kind="stable")[:K]
                 weight = 1.0 / (distance[near] + 0.01)
                 picked = values[f][donors[near]]
@@ -159,20 +162,21 @@ def impute(df: DataFrame, deck: Deck) -> DataFrame:
     donors = donors.join(needed, [f"{P}level", f"{P}block"], "left_semi").select(*kept)
     pool = _runs(donors.unionByName(asked))
     filled = pool.groupBy(f"{P}level", f"{P}block", f"{P}run", f"{P}part").applyInPandas(
-        _filler(n, len(deck.numeric), len(deck.categories), text, scales, key_type),
+        _filler(n, len(deck.numeric), len(deck.categories), text, scales, [deck.weights.get(f, 1.0) for f in deck.numeric]),
         f"{P}key {key_type}, {P}f int, {P}number double, {P}text string, {P}donor {key_type}",
     )
     wide = filled.groupBy(f"{P}key").agg(*[F.max(F.when(F.col(f"{P}f") == i, F.struct(F.col(f"{P}number"), F.col(f"{P}text"), F.col(f"{P}donor")))).alias(f"{P}r{i}") for i in range(n)])
     out = mark(df, deck).join(wide, F.col(deck.key) == F.col(f"{P}key"), "left")
     for i, f in enumerate(deck.fields):
         got = F.col(f"{P}r{i}")[f"{P}text" if text[i] else f"{P}number"].cast(df.schema[f].dataType)
-        missing = F.col(f"{f}_missing")
+        missing = F.col(f"{P}m{i}")
         out = out.withColumns({
             f"{f}_state": F.when(~missing, "observed").when(got.isNotNull(), "filled").otherwise("unfilled"),
             f"{f}_donor": F.when(missing, F.col(f"{P}r{i}")[f"{P}donor"]),
             f: F.when(missing, got).otherwise(F.col(f)),
         })
-    return out.select(*df.columns, *[c for f in deck.fields for c in (f"{f}_state", f"{f}_donor")])
+    added = [c for f in deck.fields for c in (f"{f}_state", f"{f}_donor")]
+    return out.select(*[c for c in df.columns if c not in added], *added)
 
 
 # Numbers that only stand for "missing" where no text is that long.
@@ -214,4 +218,5 @@ def stylometric_deck() -> Deck:
         categories={"domain": category("domain"), "model": category("model")},
         levels=((category("domain"), category("model"), size, rate), (category("domain"), size, rate), (size, rate), (size,), ()),
         order=per_sentence,
+        weights={"per_sentence": 4.0},
     )
