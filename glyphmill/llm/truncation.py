@@ -31,6 +31,8 @@ CLOSING_TEXTS = 3
 SEEN, RARELY = 3, 0.12
 #: Occurrences with a full stop inside sentences from which on a word is an abbreviation.
 ABBREVIATION = 3
+#: Characters at the end of a text that its ending is judged by.
+TAIL = 240
 
 _FROM, _TO = "".join(LOOKALIKES), "".join(LOOKALIKES.values())
 _WORD = r"[\p{L}\p{N}]+"
@@ -57,10 +59,11 @@ SPARK = {
     "size": lambda x: f"size({x})",
     "at": lambda x, i: f"get({x}, {i} - 1)",
     "steps": lambda n, body: f"transform(sequence(1, {n}), i -> {body})",
-    "struct": lambda gram, kind: f"named_struct('gram', {gram}, 'kind', {kind})",
+    "struct": lambda **kv: f"named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, {v}' for k, v in kv.items())})",
     "unnest": lambda x: f"explode({x})",
     "tail": lambda x, n: f"substring_index({x}, ' ', -{n})",
-    "hash": lambda x: f"xxhash64({x})",
+    "array": lambda xs: f"array({', '.join(xs)})",
+    "trim": lambda x: f"rtrim(' \\t\\r\\n', {x})",
     "count_if": lambda x: f"count_if({x})",
 }
 DUCKDB = {
@@ -73,10 +76,11 @@ DUCKDB = {
     "size": lambda x: f"len({x})",
     "at": lambda x, i: f"{x}[{i}]",
     "steps": lambda n, body: f"list_transform(range(1, {n} + 1), lambda i: {body})",
-    "struct": lambda gram, kind: f"{{'gram': {gram}, 'kind': {kind}}}",
+    "struct": lambda **kv: f"{{{', '.join(f'{chr(39)}{k}{chr(39)}: {v}' for k, v in kv.items())}}}",
     "unnest": lambda x: f"unnest({x})",
     "tail": lambda x, n: f"array_to_string(string_split({x}, ' ')[-{n}:], ' ')",
-    "hash": lambda x: f"hash({x})",
+    "array": lambda xs: f"[{', '.join(xs)}]",
+    "trim": lambda x: f"rtrim({x}, chr(32) || chr(9) || chr(13) || chr(10))",
     "count_if": lambda x: f"count(*) FILTER (WHERE {x})",
 }
 
@@ -90,65 +94,80 @@ TABLES = {"generations": ("id", "generation"), "split_texts": ("id", "text")}
 
 
 def judged_sql(d: dict, tables: dict[str, tuple[str, str]] = TABLES) -> str:
-    """The query that gives each record with text whether it is cut: rec_table, rec_id, source, sign, cut."""
-    t = d["text"]
-    body = d["replace"](d["blank"](f"translate({d['replace']('raw', t('[' + INVISIBLE + ']'))}, {t(_FROM)}, {t(_TO)})", t(r"</?[A-Za-z][^<>]*>")), t(r"\s+$"))
-    # whether a sentence ends after piece i: a stop that no small letter or digit follows, or an empty line
-    brk = lambda i: (
-        f"(length({d['at']('pieces', i)}) > length({d['at']('tokens', i)}) + 1 AND ("
-        f"({d['like'](d['at']('pieces', i), t('[.!?…]'))} AND NOT {d['like'](d['at']('pieces', f'({i} + 1)'), t('^[\\p{Ll}\\p{N}]'))}) OR {d['like'](d['at']('pieces', i), t(r'\n\s*\n'))}))"
-    )
-    one, two = "(i - 1)", "(i - 2)"
-    gram = (
-        f"concat(CASE WHEN i < 2 OR {d['at']('breaks', one)} THEN '^ ^ ' WHEN i < 3 OR {d['at']('breaks', two)} THEN concat('^ ', {d['at']('tokens', one)}, ' ') "
-        f"ELSE concat({d['at']('tokens', two)}, ' ', {d['at']('tokens', one)}, ' ') END, {d['at']('tokens', 'i')})"
-    )
+    """The query that gives each record with text whether it is cut: rec_table, rec_id, source, sign, cut.
+
+    Endings are judged on the last TAIL characters; the counts cover whole texts.
+    """
+    t, at = d["text"], d["at"]
+    plain = f"CASE WHEN {d['like']('raw', t('[^\\x00-\\x7F]'))} THEN translate({d['replace']('raw', t('[' + INVISIBLE + ']'))}, {t(_FROM)}, {t(_TO)}) ELSE raw END"
+    untagged = f"CASE WHEN {d['like']('plain', t('<'))} THEN {d['blank']('plain', t(r'</?[A-Za-z][^<>]*>'))} ELSE plain END"
+
+    def brk(i: str) -> str:
+        """Whether a sentence ends after piece i: a stop that no small letter or digit follows, or an empty line."""
+        goes_on = d["like"](at("pieces", f"{i} + 1"), t(r"^[\p{Ll}\p{N}]"))
+        return f"(length({at('pieces', i)}) > length({at('tokens', i)}) + 1 AND (({d['like'](at('pieces', i), t('[.!?…]'))} AND NOT {goes_on}) OR {d['like'](at('pieces', i), t(r'\n\s*\n'))}))"
+
+    def gram(i: str, ends_after) -> str:
+        """The trigram that ends at word i."""
+        one, two = at("tokens", f"{i} - 1"), at("tokens", f"{i} - 2")
+        return f"concat(CASE WHEN {i} < 2 OR {ends_after(f'{i} - 1')} THEN '^ ^ ' WHEN {i} < 3 OR {ends_after(f'{i} - 2')} THEN concat('^ ', {one}, ' ') ELSE concat({two}, ' ', {one}, ' ') END, {at('tokens', i)})"
+
     n = d["size"]("tokens")
-    kind = f"CASE WHEN i = {n} THEN CASE WHEN ending = 'stop' THEN 1 ELSE 2 END WHEN {d['at']('breaks', 'i')} THEN 1 WHEN {d['like'](d['at']('pieces', 'i'), t('^[^.]*[.]'))} THEN 3 ELSE 0 END"
-    final = gram.replace("(i - 1)", f"({n} - 1)").replace("(i - 2)", f"({n} - 2)").replace("i < 2", f"{n} < 2").replace("i < 3", f"{n} < 3").replace(d["at"]("tokens", "i"), d["at"]("tokens", n))
-    rare = lambda k: f"(c{k}.n_stop < {RARELY} * (c{k}.n_in + c{k}.n_stop))"
-    seen = lambda k: f"coalesce(c{k}.n_in + c{k}.n_stop, 0) >= {SEEN}"
+    kind = f"CASE WHEN i = {n} THEN CASE WHEN ending = 1 THEN 1 ELSE 2 END WHEN {at('breaks', 'i')} THEN 1 WHEN {at('pieces', 'i')} LIKE '%.%' THEN 3 ELSE 0 END"
+    levels = d["array"](["gram", d["tail"]("gram", 2), d["tail"]("gram", 1)])
+    wanted = f"CASE WHEN ending = 1 THEN {d['array']([d['tail']('gram', 1)])} ELSE {levels} END"
+    count = lambda k, c: f"max(CASE WHEN level = {k} THEN {c} END)"
+    once = lambda x: d["unnest"](d["array"]([x]))  # noqa: E731 - computed here and not again wherever it is used
+    parted = lambda x: once(d["struct"](pieces=d["all"](x, t(_PIECE)), tokens=d["all"](f"lower({x})", t(_WORD))))
+    rare = lambda k: f"stop{k} < {RARELY} * (in{k} + stop{k})"
+    seen = lambda k: f"coalesce(in{k} + stop{k}, 0) >= {SEEN}"
+    tail_is = lambda p: d["like"]("bare_tail", t(p))
+    ending = f"CASE WHEN {tail_is(_STOP)} THEN 1 WHEN {tail_is(_SMILEY)} THEN 0 WHEN {tail_is(_BARE)} THEN 2 WHEN {tail_is(_OPEN)} THEN 3 ELSE 0 END"
     return f"""
 WITH rec AS ({records_sql(tables)}),
-bodies AS (SELECT rec_table, rec_id, source, {body} AS body FROM rec WHERE raw IS NOT NULL),
+plain AS (SELECT rec_table, rec_id, source, {once(plain)} AS plain FROM rec WHERE raw IS NOT NULL),
+bodies AS (SELECT rec_table, rec_id, source, {once(d['trim'](untagged))} AS body FROM plain),
+tails AS (SELECT rec_table, rec_id, source, body, right(body, {TAIL}) AS tail, {once(d['replace'](f'right(body, {TAIL})', t(_SIGN)))} AS bare_tail FROM bodies WHERE {d['like']('body', t(r'[\p{L}\p{N}]'))}),
 cores AS (
-  SELECT rec_table, rec_id, source, body, {d['replace']('body', t(_SIGN))} AS core,
-    CASE WHEN {d['like']('body', t(_EXPLICIT))} THEN 'explicit' WHEN {d['like']('body', t(_SIGN))} THEN 'dots' ELSE 'none' END AS sign
-  FROM bodies WHERE {d['like']('body', t(_WORD))}),
+  SELECT rec_table, rec_id, source, CASE WHEN length(tail) = length(bare_tail) THEN body ELSE substring(body, 1, length(body) - length(tail) + length(bare_tail)) END AS core, bare_tail,
+    CASE WHEN length(tail) = length(bare_tail) THEN 'none' WHEN {d['like']('tail', t(_EXPLICIT))} THEN 'explicit' ELSE 'dots' END AS sign FROM tails),
 ends AS (
-  SELECT *, CASE WHEN {d['like']('core', t(_STOP))} THEN 'stop' WHEN {d['like']('core', t(_SMILEY))} THEN 'closed' WHEN {d['like']('core', t(_BARE))} THEN 'bare'
-      WHEN {d['like']('core', t(_OPEN))} THEN 'open' ELSE 'closed' END AS ending,
-    {d['like']('core', t(_OWN_LINE))} AS own_line,
-    {d['like'](d['first']('core', t(_LINE)), t(_ENTRY))} OR {d['like']('core', t(_MARKED))} OR {d['like']('core', t(_GREETING))} AS closing
+  SELECT rec_table, rec_id, source, core, sign, bare_tail, {once(ending)} AS ending,
+    {d['like']('bare_tail', t(_OWN_LINE))} AS own_line, {d['like'](d['first']('bare_tail', t(_LINE)), t(_ENTRY))} OR {d['like']('bare_tail', t(_MARKED))} OR {d['like']('bare_tail', t(_GREETING))} AS closing
   FROM cores),
-texts AS (SELECT core, ending FROM (SELECT core, max(ending) AS ending FROM ends GROUP BY core, {d['hash']('core')}) AS x),
-split AS (SELECT ending, {d['all']('core', t(_PIECE))} AS pieces, {d['all']('lower(core)', t(_WORD))} AS tokens FROM texts),
-broken AS (SELECT ending, pieces, tokens, {d['steps'](f"({n} - 1)", brk('i'))} AS breaks FROM split WHERE {n} > 1 AND {n} = {d['size']('pieces')}),
-uses AS (SELECT {d['unnest'](d['steps'](n, d['struct'](gram, kind)))} AS u FROM broken),
+texts AS (SELECT core, max(ending) AS ending FROM ends GROUP BY core),
+parts AS (SELECT ending, {parted('core')} AS p FROM texts),
+split AS (SELECT ending, p.pieces AS pieces, p.tokens AS tokens FROM parts),
+broken AS (SELECT ending, pieces, tokens, {once(d['steps'](f'({n} - 1)', brk('i')))} AS breaks FROM split WHERE {n} > 1 AND {n} = {d['size']('pieces')}),
+uses AS (SELECT {d['unnest'](d['steps'](n, d['struct'](gram=gram('i', lambda i: at('breaks', i)), kind=kind)))} AS u FROM broken),
 grams AS (
   SELECT u.gram AS gram, {d['count_if']('u.kind IN (0, 3)')} AS n_in, {d['count_if']('u.kind = 1')} AS n_stop, {d['count_if']('u.kind = 2')} AS n_end, {d['count_if']('u.kind = 3')} AS n_dot
   FROM uses GROUP BY u.gram),
-pairs AS (SELECT {d['tail']('gram', 2)} AS gram, sum(n_in) AS n_in, sum(n_stop) AS n_stop FROM grams GROUP BY 1),
-singles AS (SELECT {d['tail']('gram', 1)} AS gram, sum(n_in) AS n_in, sum(n_stop) AS n_stop, sum(n_dot) AS n_dot FROM grams GROUP BY 1),
-suspects AS (
-  SELECT rec_table, rec_id, source, sign, ending, closing, own_line, tokens, breaks FROM (
-    SELECT *, {d['steps'](f"({n} - 1)", brk('i'))} AS breaks FROM (
-      SELECT rec_table, rec_id, source, sign, ending, closing, own_line, {d['all']('core', t(_PIECE))} AS pieces, {d['all']('lower(core)', t(_WORD))} AS tokens FROM ends WHERE ending <> 'closed') AS y
-    WHERE {n} > 1 AND {n} = {d['size']('pieces')}) AS z),
-finals AS (SELECT rec_table, rec_id, source, sign, ending, closing, own_line, {final} AS gram FROM suspects),
+stats AS (
+  SELECT gram, sum(n_in) AS n_in, sum(n_stop) AS n_stop, sum(n_end) AS n_end, sum(n_dot) AS n_dot
+  FROM (SELECT {d['unnest'](levels)} AS gram, n_in, n_stop, n_end, n_dot FROM grams) AS x GROUP BY gram),
+last_parts AS (SELECT rec_table, rec_id, source, sign, ending, own_line, closing, {parted('bare_tail')} AS p FROM ends WHERE ending > 0),
+suspects AS (SELECT rec_table, rec_id, source, sign, ending, own_line, closing, p.pieces AS pieces, p.tokens AS tokens FROM last_parts),
+finals AS (SELECT rec_table, rec_id, source, sign, ending, own_line, closing, {once(gram(n, brk))} AS gram FROM suspects WHERE {n} > 1 AND {n} = {d['size']('pieces')}),
+keys AS (SELECT rec_table, rec_id, source, sign, ending, own_line, closing, gram, {d['unnest'](wanted)} AS part FROM finals),
+leveled AS (SELECT k.*, length(k.part) - length(replace(k.part, ' ', '')) + 1 AS level, s.n_in, s.n_stop, s.n_end, s.n_dot FROM keys AS k LEFT JOIN stats AS s ON s.gram = k.part),
+known AS (
+  SELECT rec_table, rec_id, source, sign, ending, own_line, closing, gram, {count(3, 'n_in')} AS in3, {count(3, 'n_stop')} AS stop3, {count(3, 'n_end')} AS end3,
+    {count(2, 'n_in')} AS in2, {count(2, 'n_stop')} AS stop2, {count(1, 'n_in')} AS in1, {count(1, 'n_stop')} AS stop1, {count(1, 'n_dot')} AS dot1
+  FROM leveled GROUP BY rec_table, rec_id, source, sign, ending, own_line, closing, gram),
 judged AS (
-  SELECT f.rec_table, f.rec_id, f.source, f.sign,
+  SELECT rec_table, rec_id, source, sign,
     CASE
-      WHEN f.ending = 'stop' THEN coalesce(c1.n_dot >= {ABBREVIATION} AND c1.n_dot >= 5 * c1.n_stop, false)
-      WHEN f.sign = 'explicit' THEN true
-      WHEN f.closing THEN false
-      WHEN f.ending = 'open' THEN true
-      WHEN f.sign = 'none' THEN NOT coalesce(f.own_line AND c3.n_end >= {CLOSING_TEXTS} AND c3.n_in = 0 AND f.gram NOT LIKE '^ ^ %', false)
+      WHEN ending = 1 THEN coalesce(dot1 >= {ABBREVIATION} AND dot1 >= 5 * stop1, false)
+      WHEN sign = 'explicit' THEN true
+      WHEN closing THEN false
+      WHEN ending = 3 THEN true
+      WHEN sign = 'none' THEN NOT coalesce(own_line AND end3 >= {CLOSING_TEXTS} AND in3 = 0 AND gram NOT LIKE '^ ^ %', false)
       WHEN {seen(3)} THEN {rare(3)}
       WHEN {seen(2)} THEN {rare(2)}
       WHEN {seen(1)} THEN {rare(1)}
       ELSE true END AS cut
-  FROM finals AS f LEFT JOIN grams AS c3 ON c3.gram = f.gram LEFT JOIN pairs AS c2 ON c2.gram = {d['tail']('f.gram', 2)} LEFT JOIN singles AS c1 ON c1.gram = {d['tail']('f.gram', 1)})
+  FROM known)
 """
 
 
