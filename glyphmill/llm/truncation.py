@@ -104,14 +104,20 @@ def judged_sql(d: dict, tables: dict[str, tuple[str, str]] = TABLES) -> str:
 
     def brk(i: str) -> str:
         """Whether a sentence ends after piece i: a stop that no small letter or digit follows, or an empty line."""
+        piece = at("pieces", i)
         goes_on = d["like"](at("pieces", f"{i} + 1"), t(r"^[\p{Ll}\p{N}]"))
-        return f"(length({at('pieces', i)}) > length({at('tokens', i)}) + 1 AND (({d['like'](at('pieces', i), t('[.!?…]'))} AND NOT {goes_on}) OR {d['like'](at('pieces', i), t(r'\n\s*\n'))}))"
+        stops = " OR ".join(f"{piece} LIKE '%{c}%'" for c in ".!?…")
+        return f"(length({piece}) > length({at('tokens', i)}) + 1 AND ((({stops}) AND NOT {goes_on}) OR length({piece}) > length(replace({piece}, chr(10), '')) + 1))"
 
     def gram(i: str, ends_after) -> str:
         """The trigram that ends at word i."""
         one, two = at("tokens", f"{i} - 1"), at("tokens", f"{i} - 2")
         return f"concat(CASE WHEN {i} < 2 OR {ends_after(f'{i} - 1')} THEN '^ ^ ' WHEN {i} < 3 OR {ends_after(f'{i} - 2')} THEN concat('^ ', {one}, ' ') ELSE concat({two}, ' ', {one}, ' ') END, {at('tokens', i)})"
 
+    # only endings that can be a sign are searched for one
+    last = f"right(body, {TAIL})"
+    signed = f"CASE WHEN body LIKE '%..' OR right(body, 1) IN ('…', ')', ']', '�') THEN {d['replace'](last, t(_SIGN))} ELSE {last} END"
+    closing = f"{d['like'](d['first']('bare_tail', t(_LINE)), t(_ENTRY))} OR {d['like']('bare_tail', t(_MARKED))} OR {d['like']('bare_tail', t(_GREETING))}"
     n = d["size"]("tokens")
     kind = f"CASE WHEN i = {n} THEN CASE WHEN ending = 1 THEN 1 ELSE 2 END WHEN {at('breaks', 'i')} THEN 1 WHEN {at('pieces', 'i')} LIKE '%.%' THEN 3 ELSE 0 END"
     levels = d["array"](["gram", d["tail"]("gram", 2), d["tail"]("gram", 1)])
@@ -127,13 +133,12 @@ def judged_sql(d: dict, tables: dict[str, tuple[str, str]] = TABLES) -> str:
 WITH rec AS ({records_sql(tables)}),
 plain AS (SELECT rec_table, rec_id, source, {once(plain)} AS plain FROM rec WHERE raw IS NOT NULL),
 bodies AS (SELECT rec_table, rec_id, source, {once(d['trim'](untagged))} AS body FROM plain),
-tails AS (SELECT rec_table, rec_id, source, body, right(body, {TAIL}) AS tail, {once(d['replace'](f'right(body, {TAIL})', t(_SIGN)))} AS bare_tail FROM bodies WHERE {d['like']('body', t(r'[\p{L}\p{N}]'))}),
+tails AS (SELECT rec_table, rec_id, source, body, right(body, {TAIL}) AS tail, {once(signed)} AS bare_tail FROM bodies WHERE {d['like']('body', t(r'[\p{L}\p{N}]'))}),
 cores AS (
   SELECT rec_table, rec_id, source, CASE WHEN length(tail) = length(bare_tail) THEN body ELSE substring(body, 1, length(body) - length(tail) + length(bare_tail)) END AS core, bare_tail,
     CASE WHEN length(tail) = length(bare_tail) THEN 'none' WHEN {d['like']('tail', t(_EXPLICIT))} THEN 'explicit' ELSE 'dots' END AS sign FROM tails),
 ends AS (
-  SELECT rec_table, rec_id, source, core, sign, bare_tail, {once(ending)} AS ending,
-    {d['like']('bare_tail', t(_OWN_LINE))} AS own_line, {d['like'](d['first']('bare_tail', t(_LINE)), t(_ENTRY))} OR {d['like']('bare_tail', t(_MARKED))} OR {d['like']('bare_tail', t(_GREETING))} AS closing
+  SELECT rec_table, rec_id, source, core, sign, bare_tail, {once(ending)} AS ending
   FROM cores),
 texts AS (SELECT core, max(ending) AS ending FROM ends GROUP BY core),
 parts AS (SELECT ending, {parted('core')} AS p FROM texts),
@@ -146,7 +151,9 @@ grams AS (
 stats AS (
   SELECT gram, sum(n_in) AS n_in, sum(n_stop) AS n_stop, sum(n_end) AS n_end, sum(n_dot) AS n_dot
   FROM (SELECT {d['unnest'](levels)} AS gram, n_in, n_stop, n_end, n_dot FROM grams) AS x GROUP BY gram),
-last_parts AS (SELECT rec_table, rec_id, source, sign, ending, own_line, closing, {parted('bare_tail')} AS p FROM ends WHERE ending > 0),
+last_parts AS (
+  SELECT rec_table, rec_id, source, sign, ending, CASE WHEN ending > 1 THEN {d['like']('bare_tail', t(_OWN_LINE))} ELSE false END AS own_line, CASE WHEN ending > 1 THEN {closing} ELSE false END AS closing, {parted('bare_tail')} AS p
+  FROM ends WHERE ending > 0),
 suspects AS (SELECT rec_table, rec_id, source, sign, ending, own_line, closing, p.pieces AS pieces, p.tokens AS tokens FROM last_parts),
 finals AS (SELECT rec_table, rec_id, source, sign, ending, own_line, closing, {once(gram(n, brk))} AS gram FROM suspects WHERE {n} > 1 AND {n} = {d['size']('pieces')}),
 keys AS (SELECT rec_table, rec_id, source, sign, ending, own_line, closing, gram, {d['unnest'](wanted)} AS part FROM finals),
