@@ -97,7 +97,7 @@ class ReadingModel:
         """Quantiles and mean of the known words' grades of each document, and how many are known."""
         get = self.grades.get
         known = [[g for g in map(get, tokens) if g is not None] for tokens in token_lists]
-        n = np.array([len(k) for k in known])
+        n = np.array([len(k) for k in known], np.int64)
         flat = np.fromiter((g for k in known for g in k), np.int64, int(n.sum()))
         owner = np.repeat(np.arange(len(known)), n)
         table = np.bincount(owner * STEPS + flat, minlength=len(known) * STEPS).reshape(-1, STEPS)
