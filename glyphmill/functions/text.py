@@ -118,7 +118,9 @@ def char_classes(c: str) -> list[Column]:
 
 def char_trigram_statistics(documents: DataFrame) -> DataFrame:
     """Diversity and entropy of character trigrams; texts of less than three characters have none."""
-    grams = documents.filter(F.length("text") >= 3).select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substr("text", i, F.lit(3)))).alias("gram"))
+    # by an array of characters: a place in a UTF-8 string is found by walking to it
+    chars = documents.filter(F.length("text") >= 3).select("doc_id", F.explode(F.array(F.split("text", ""))).alias("c"))
+    grams = chars.select("doc_id", F.explode(F.transform(F.slice("c", F.lit(1), F.size("c") - 2), lambda x, i: F.concat(x, F.get("c", i + 1), F.get("c", i + 2)))).alias("gram"))
     counts = grams.groupBy("doc_id", "gram").agg(F.count("*").cast("double").alias("n"))
     total = F.sum("n")
     return counts.groupBy("doc_id").agg(F.round(F.count("*") / total, 6).alias("char_trigram_diversity"), F.round(F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total, 6).alias("char_trigram_entropy"))
