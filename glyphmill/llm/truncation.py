@@ -57,8 +57,9 @@ SPARK = {
     "all": lambda x, p: f"regexp_extract_all({x}, {p}, 0)",
     "first": lambda x, p: f"regexp_extract({x}, {p}, 0)",
     "size": lambda x: f"size({x})",
-    "at": lambda x, i: f"get({x}, {i} - 1)",
-    "steps": lambda n, body: f"transform(sequence(1, {n}), i -> {body})",
+    "base": 0,
+    "at": lambda x, i: f"get({x}, {i})",
+    "steps": lambda x, body: f"transform({x}, (p, i) -> {body})",
     "struct": lambda **kv: f"named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, {v}' for k, v in kv.items())})",
     "unnest": lambda x: f"explode({x})",
     "tail": lambda x, n: f"substring_index({x}, ' ', -{n})",
@@ -74,8 +75,9 @@ DUCKDB = {
     "all": lambda x, p: f"regexp_extract_all({x}, {p})",
     "first": lambda x, p: f"regexp_extract({x}, {p})",
     "size": lambda x: f"len({x})",
+    "base": 1,
     "at": lambda x, i: f"{x}[{i}]",
-    "steps": lambda n, body: f"list_transform(range(1, {n} + 1), lambda i: {body})",
+    "steps": lambda x, body: f"list_transform({x}, lambda p, i: {body})",
     "struct": lambda **kv: f"{{{', '.join(f'{chr(39)}{k}{chr(39)}: {v}' for k, v in kv.items())}}}",
     "unnest": lambda x: f"unnest({x})",
     "tail": lambda x, n: f"array_to_string(string_split({x}, ' ')[-{n}:], ' ')",
@@ -98,13 +100,13 @@ def judged_sql(d: dict, tables: dict[str, tuple[str, str]] = TABLES) -> str:
 
     Endings are judged on the last TAIL characters; the counts cover whole texts.
     """
-    t, at = d["text"], d["at"]
+    t, at, base = d["text"], d["at"], d["base"]
     plain = f"CASE WHEN {d['like']('raw', t('[^\\x00-\\x7F]'))} THEN translate({d['replace']('raw', t('[' + INVISIBLE + ']'))}, {t(_FROM)}, {t(_TO)}) ELSE raw END"
     untagged = f"CASE WHEN {d['like']('plain', t('<'))} THEN {d['blank']('plain', t(r'</?[A-Za-z][^<>]*>'))} ELSE plain END"
 
-    def brk(i: str) -> str:
+    def brk(i: str, piece: str | None = None) -> str:
         """Whether a sentence ends after piece i: a stop that no small letter or digit follows, or an empty line."""
-        piece = at("pieces", i)
+        piece = piece or at("pieces", i)
         goes_on = d["like"](at("pieces", f"{i} + 1"), t(r"^[\p{Ll}\p{N}]"))
         stops = " OR ".join(f"{piece} LIKE '%{c}%'" for c in ".!?…")
         return f"(length({piece}) > length({at('tokens', i)}) + 1 AND ((({stops}) AND NOT {goes_on}) OR length({piece}) > length(replace({piece}, chr(10), '')) + 1))"
@@ -112,14 +114,15 @@ def judged_sql(d: dict, tables: dict[str, tuple[str, str]] = TABLES) -> str:
     def gram(i: str, ends_after) -> str:
         """The trigram that ends at word i."""
         one, two = at("tokens", f"{i} - 1"), at("tokens", f"{i} - 2")
-        return f"concat(CASE WHEN {i} < 2 OR {ends_after(f'{i} - 1')} THEN '^ ^ ' WHEN {i} < 3 OR {ends_after(f'{i} - 2')} THEN concat('^ ', {one}, ' ') ELSE concat({two}, ' ', {one}, ' ') END, {at('tokens', i)})"
+        return f"concat(CASE WHEN {i} < {base + 1} OR {ends_after(f'{i} - 1')} THEN '^ ^ ' WHEN {i} < {base + 2} OR {ends_after(f'{i} - 2')} THEN concat('^ ', {one}, ' ') ELSE concat({two}, ' ', {one}, ' ') END, {at('tokens', i)})"
 
     # only endings that can be a sign are searched for one
     last = f"right(body, {TAIL})"
     signed = f"CASE WHEN body LIKE '%..' OR right(body, 1) IN ('…', ')', ']', '�') THEN {d['replace'](last, t(_SIGN))} ELSE {last} END"
     closing = f"{d['like'](d['first']('bare_tail', t(_LINE)), t(_ENTRY))} OR {d['like']('bare_tail', t(_MARKED))} OR {d['like']('bare_tail', t(_GREETING))}"
     n = d["size"]("tokens")
-    kind = f"CASE WHEN i = {n} THEN CASE WHEN ending = 1 THEN 1 ELSE 2 END WHEN {at('breaks', 'i')} THEN 1 WHEN {at('pieces', 'i')} LIKE '%.%' THEN 3 ELSE 0 END"
+    end = f"{n} - {1 - base}"
+    kind = f"CASE WHEN i = {end} THEN CASE WHEN ending = 1 THEN 1 ELSE 2 END WHEN {at('breaks', 'i')} THEN 1 WHEN p LIKE '%.%' THEN 3 ELSE 0 END"
     levels = d["array"](["gram", d["tail"]("gram", 2), d["tail"]("gram", 1)])
     wanted = f"CASE WHEN ending = 1 THEN {d['array']([d['tail']('gram', 1)])} ELSE {levels} END"
     count = lambda k, c: f"max(CASE WHEN level = {k} THEN {c} END)"
@@ -143,8 +146,8 @@ ends AS (
 texts AS (SELECT core, max(ending) AS ending FROM ends GROUP BY core),
 parts AS (SELECT ending, {parted('core')} AS p FROM texts),
 split AS (SELECT ending, p.pieces AS pieces, p.tokens AS tokens FROM parts),
-broken AS (SELECT ending, pieces, tokens, {once(d['steps'](f'({n} - 1)', brk('i')))} AS breaks FROM split WHERE {n} > 1 AND {n} = {d['size']('pieces')}),
-uses AS (SELECT {d['unnest'](d['steps'](n, d['struct'](gram=gram('i', lambda i: at('breaks', i)), kind=kind)))} AS u FROM broken),
+broken AS (SELECT ending, pieces, tokens, {once(d['steps']('pieces', brk('i', 'p')))} AS breaks FROM split WHERE {n} > 1 AND {n} = {d['size']('pieces')}),
+uses AS (SELECT {d['unnest'](d['steps']('pieces', d['struct'](gram=gram('i', lambda i: at('breaks', i)), kind=kind)))} AS u FROM broken),
 grams AS (
   SELECT u.gram AS gram, {d['count_if']('u.kind IN (0, 3)')} AS n_in, {d['count_if']('u.kind = 1')} AS n_stop, {d['count_if']('u.kind = 2')} AS n_end, {d['count_if']('u.kind = 3')} AS n_dot
   FROM uses GROUP BY u.gram),
@@ -155,7 +158,7 @@ last_parts AS (
   SELECT rec_table, rec_id, source, sign, ending, CASE WHEN ending > 1 THEN {d['like']('bare_tail', t(_OWN_LINE))} ELSE false END AS own_line, CASE WHEN ending > 1 THEN {closing} ELSE false END AS closing, {parted('bare_tail')} AS p
   FROM ends WHERE ending > 0),
 suspects AS (SELECT rec_table, rec_id, source, sign, ending, own_line, closing, p.pieces AS pieces, p.tokens AS tokens FROM last_parts),
-finals AS (SELECT rec_table, rec_id, source, sign, ending, own_line, closing, {once(gram(n, brk))} AS gram FROM suspects WHERE {n} > 1 AND {n} = {d['size']('pieces')}),
+finals AS (SELECT rec_table, rec_id, source, sign, ending, own_line, closing, {once(gram(end, brk))} AS gram FROM suspects WHERE {n} > 1 AND {n} = {d['size']('pieces')}),
 keys AS (SELECT rec_table, rec_id, source, sign, ending, own_line, closing, gram, {d['unnest'](wanted)} AS part FROM finals),
 leveled AS (SELECT k.*, length(k.part) - length(replace(k.part, ' ', '')) + 1 AS level, s.n_in, s.n_stop, s.n_end, s.n_dot FROM keys AS k LEFT JOIN stats AS s ON s.gram = k.part),
 known AS (
