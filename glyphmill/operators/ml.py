@@ -12,10 +12,10 @@ from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from glyphmill.operators import sampling, stats
 from glyphmill.operators.quality import finite
+from glyphmill.operators.ranking import numbered
 
 MODELS: dict[str, tuple[type, dict]] = {
     "gbt": (GBTClassifier, {"maxIter": 20, "maxDepth": 5, "stepSize": 0.15, "subsamplingRate": 0.8, "seed": 42}),
@@ -85,9 +85,10 @@ def gain_importance(fitted: PipelineModel, features: list[str]) -> list[tuple[st
 
 def permuted(df: DataFrame, column: str, key: str, seed: str) -> DataFrame:
     """``df`` with one column's values dealt to other rows, by joining two hash orders."""
-    a = df.drop(column).withColumn("__k", F.row_number().over(W.orderBy(key)))
-    b = df.select(column, F.row_number().over(W.orderBy(sampling.order_key(F.col(key), seed=seed), key)).alias("__k"))
-    return a.join(b, "__k").select(*df.columns)
+    a = numbered(df.drop(column), [key], "__n")
+    mixed = df.select(column, sampling.order_key(F.col(key), seed=seed).alias("__h"), F.col(key).alias("__i"))
+    b = numbered(mixed, ["__h", "__i"], "__n").select(column, "__n")
+    return a.join(b, "__n").select(*df.columns)
 
 
 def permutation_importance(fitted: PipelineModel, df: DataFrame, features: list[str], key: str, repeats: int = 3, metric: str = "f1") -> list[tuple[str, float]]:

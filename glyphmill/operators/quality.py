@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from glyphmill.operators.ranking import running_sums
+
 #: Left-closed length bins; values outside have none.
 LENGTH_BINS = (0, 100, 250, 500, 10000)
 
@@ -164,10 +166,7 @@ def correlations(df: DataFrame, features: list[str], ranks: bool = False) -> Dat
     if ranks:
         for f in features:
             counts = clean.filter(F.col(f).isNotNull()).groupBy(f).agg(F.count("*").alias("n"))
-            from pyspark.sql import Window as W
-
-            # the table of distinct values is ranked, in one ordered pass
-            ranked = counts.withColumn("r", F.sum("n").over(W.orderBy(f).rowsBetween(W.unboundedPreceding, 0)) - (F.col("n") - 1) / 2.0).select(F.col(f).alias("__v"), F.col("r").alias("__r"))
+            ranked = running_sums(counts, [f], {"below": F.col("n")}).select(F.col(f).alias("__v"), (F.col("below") + (F.col("n") + 1) / 2.0).alias("__r"))
             clean = clean.join(ranked, F.col(f) == F.col("__v"), "left").withColumn(f, F.col("__r")).drop("__v", "__r")
     cells = []
     for i, a in enumerate(features):

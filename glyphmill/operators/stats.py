@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from glyphmill.operators.quality import finite
+from glyphmill.operators.ranking import running_sums
 
 
 def long_format(df: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -108,8 +109,7 @@ def confusion(predictions: DataFrame, label: str, predicted: str) -> DataFrame:
 def roc_auc(predictions: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve by rank sums over the distinct scores (ties count half)."""
     by = predictions.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    won = by.withColumn("won", F.col("p") * (below + F.col("n") / 2.0))
+    won = running_sums(by, ["s"], {"below": F.col("n")}).withColumn("won", F.col("p") * (F.col("below") + F.col("n") / 2.0))
     return won.agg(F.round(F.try_divide(F.sum("won"), F.sum("p").cast("double") * F.sum("n")), 6).alias("roc_auc"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from glyphmill.functions import text as T
-from glyphmill.operators import quality, sampling, stats
+from glyphmill.operators import quality, ranking, sampling, stats
 from glyphmill.session import read_table
 
 FEATURES = ["n_tokens_doc", "avg_word_length", "type_token_ratio", "flesch_reading_ease", "avg_sentence_length", "sentence_length_std", "max_tree_depth"]
@@ -39,7 +39,7 @@ def _features(s: SparkSession, d: str) -> DataFrame:
 
 @q("SELECT printf('doc_%05d', row_number() OVER (ORDER BY doc_id) - 1) AS id, doc_id FROM documents")
 def doc_load_ids(s, d):
-    return _docs(s, d).select("doc_id").select(F.format_string("doc_%05d", F.row_number().over(W.orderBy("doc_id")) - 1).alias("id"), "doc_id")
+    return ranking.numbered(_docs(s, d).select("doc_id"), ["doc_id"], "k").select(F.format_string("doc_%05d", "k").alias("id"), "doc_id")
 
 
 @q(r"SELECT doc_id, regexp_matches(text, '(?i)https?://\S+|www\.\S+') AS had_urls, regexp_matches(text, '<[^>]+>') AS had_html, regexp_matches(text, '`[^`]+`') OR regexp_matches(text, '(?s)```.*?```') AS had_code, regexp_matches(text, '(?m)^[ \t]*\|.*\|[ \t]*$') AS had_table FROM documents WHERE text IS NOT NULL")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from glyphmill.operators.ranking import numbered
+
 TEXT_COLUMNS = ("text", "generation")
 
 
@@ -35,11 +37,11 @@ def with_ids(df: DataFrame, order: str | None = None) -> DataFrame:
     if "id" in df.columns:
         return df.withColumn("id", F.col("id").cast("string"))
     if order is not None:
-        df = df.orderBy(order)
+        return numbered(df, [order], "__n").select(F.format_string("doc_%05d", "__n").alias("id"), *df.columns)
     placed = df.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
     starts = placed.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    numbered = placed.join(F.broadcast(starts), "__part").withColumn("__k", F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
-    return numbered.select(F.format_string("doc_%05d", "__k").alias("id"), *df.columns)
+    numbers = placed.join(F.broadcast(starts), "__part").withColumn("__k", F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    return numbers.select(F.format_string("doc_%05d", "__k").alias("id"), *df.columns)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -33,3 +33,12 @@ def test_stratified_split_folds_and_balance(spark):
     assert {(r["y"], r["part"]): r["count"] for r in parts} == {(0, "test"): 60, (0, "train"): 240, (1, "test"): 20, (1, "train"): 80}
     assert {r["count"] for r in sampling.folds(df, "y", "k").groupBy("fold").count().collect()} == {80}
     assert {r["actual"] for r in sampling.balance(df, ["y"]).collect()} == {0.25, 0.75}
+
+
+def test_running_sums_over_partitions(spark):
+    from glyphmill.operators import ranking
+
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"))
+    rows = ranking.running_sums(df, ["k"], {"n": F.lit(1), "total": F.col("k")}).collect()
+    assert all(r["n"] == r["k"] and r["total"] == r["k"] * (r["k"] - 1) // 2 for r in rows)
+    assert ranking.numbered(df.limit(0), ["k"], "n").count() == 0
