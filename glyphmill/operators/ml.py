@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -10,7 +11,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.operators import sampling, stats
@@ -42,6 +43,19 @@ def pipeline(features: list[str], model: str = "gbt", **params) -> Pipeline:
     return Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features"), cls(**(defaults | params))])
 
 
+def save(fitted: PipelineModel, features: list[str], path: str, threshold: float = 0.5) -> None:
+    """The model, with its features in order and its threshold in a JSON table beside it."""
+    spark = SparkSession.getActiveSession()
+    fitted.write().overwrite().save(f"{path}/model")
+    meta = json.dumps({"features": features, "threshold": threshold, "label": "label"})
+    spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def load(path: str) -> tuple[PipelineModel, dict]:
+    spark = SparkSession.getActiveSession()
+    return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/meta").first()[0])
+
+
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     out = model.transform(df)
     score = vector_to_array("probability")[1] if "probability" in out.columns else vector_to_array("rawPrediction")[1]

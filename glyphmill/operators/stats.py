@@ -76,6 +76,28 @@ def t_p_value(t: float, df: float) -> float:
     return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
 
 
+def wilcoxon(a: list[float], b: list[float]) -> tuple[float, float]:
+    """Signed-rank statistic of two short paired series and its two-sided normal p; zero differences are left out."""
+    gaps = sorted((y - x for x, y in zip(a, b) if y != x), key=abs)
+    n, ranks, i = len(gaps), [0.0] * len(gaps), 0
+    if not n:
+        return 0.0, 1.0
+    ties = 0.0
+    while i < n:
+        j = i
+        while j < n and abs(gaps[j]) == abs(gaps[i]):
+            j += 1
+        for k in range(i, j):
+            ranks[k] = (i + j + 1) / 2
+        ties += (j - i) ** 3 - (j - i)
+        i = j
+    plus = sum(r for r, g in zip(ranks, gaps) if g > 0)
+    low = min(plus, n * (n + 1) / 2 - plus)
+    spread = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
+    z = (low - n * (n + 1) / 4) / spread if spread else 0.0
+    return low, min(1.0, math.erfc(abs(z) / math.sqrt(2)))
+
+
 def significance(df: DataFrame, features: list[str], label: str, alpha: float = 0.05) -> DataFrame:
     """p values of Welch's test at alpha and Bonferroni's alpha / m; one row a feature comes to the driver."""
     rows = t_tests(df, features, label).collect()

@@ -66,6 +66,12 @@ a AS (SELECT doc_id, avg(comp_meso) AS meso_c, avg(ents_macro) AS macro_e, avg(e
   avg(CASE WHEN comp_meso > 0 OR prag > 0 THEN 1.0e0 ELSE 0.0e0 END) AS agree, avg((tc - 1) / CAST(comp_macro + 1 AS DOUBLE)) AS ratio, var_pop(CASE WHEN comp_micro > 0 THEN 1.0e0 ELSE 0.0e0 END) AS v FROM f GROUP BY doc_id)
 SELECT doc_id, round(meso_c, 6) AS meso_avg_competitors_moderate, round(macro_e, 6) AS macro_avg_context_entities, round(need, 6) AS micro_logical_necessity_rate, round(prag, 6) AS meso_pragmatic_necessity_rate, round(loose, 6) AS macro_overspecification_loose_rate, round(agree, 6) AS meso_consensus_score_mean,
   0.0e0 AS micro_statistical_typicality_mean, round(ratio, 6) AS macro_modification_vs_competitors_ratio, round(macro_e, 6) AS meso_context_density, round(coalesce(macro_c / NULLIF(micro_c, 0), 1), 6) AS micro_macro_competitor_ratio, round(coalesce(macro_e / NULLIF(micro_e, 0), 1), 6) AS meso_macro_context_ratio, round(v, 6) AS necessity_scale_variance FROM a""", ("mentions",))
+_X = SQL["mention_contexts"][0].split("f AS (SELECT *,")[0].rstrip().rstrip(",")
+_os = lambda n: f"avg(CASE WHEN comp_{n} = 0 AND tc > 2 THEN 1.0e0 WHEN comp_{n} = 0 AND tc > 1 THEN 0.5e0 ELSE 0.0e0 END) AS {n}_os"
+SQL["mention_scales"] = (_X + f""", o AS (SELECT doc_id, {_os('micro')}, {_os('meso')}, {_os('macro')} FROM x GROUP BY doc_id),
+c AS (SELECT doc_id, k, CAST(count(*) AS DOUBLE) AS n FROM (SELECT doc_id, comp_micro AS k FROM x UNION ALL SELECT doc_id, comp_meso FROM x UNION ALL SELECT doc_id, comp_macro FROM x) AS u GROUP BY doc_id, k), h AS (SELECT doc_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h FROM c GROUP BY doc_id)
+SELECT o.doc_id, round(1 - sqrt(greatest(0, (micro_os * micro_os + meso_os * meso_os + macro_os * macro_os) / 3 - (micro_os + meso_os + macro_os) * (micro_os + meso_os + macro_os) / 9)), 4) AS scale_consistency_score, round(coalesce(meso_os / NULLIF(micro_os, 0), 1), 6) AS micro_meso_overspec_gradient, round(h, 6) AS competitor_scale_entropy
+FROM o JOIN h ON h.doc_id = o.doc_id""", ("mentions",))
 SQL["singletons"] = ("""WITH k AS (SELECT doc_id, chain, count(*) AS n FROM mentions GROUP BY doc_id, chain), e AS (SELECT doc_id, entity, min(tok_idx) AS tok_idx, count(*) AS n FROM entities GROUP BY doc_id, entity),
 s AS (SELECT e.doc_id, count(*) AS singles, avg(length(e.entity)) AS chars FROM e LEFT JOIN k ON k.doc_id = e.doc_id AND k.chain = e.entity AND k.n > 1 WHERE k.chain IS NULL GROUP BY e.doc_id), m AS (SELECT doc_id, sum(n) AS in_chains FROM k WHERE n > 1 GROUP BY doc_id)
 SELECT s.doc_id, CAST(singles AS BIGINT) AS singleton_count, round(singles / CAST(singles + coalesce(in_chains, 0) AS DOUBLE), 6) AS singleton_ratio, round(chars, 6) AS singleton_avg_chars FROM s LEFT JOIN m ON m.doc_id = s.doc_id""", ("mentions", "entities"))
@@ -83,7 +89,19 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     return sizes.select("doc_id", F.round(F.col("top") / F.col("s"), 6).alias("entity_largest_component_size"))
 
 
-QUERIES["components"] = components
+def semantic_components(spark: SparkSession, d: str) -> DataFrame:
+    """Share of a group's vectors in the largest component of its similarity graph."""
+    pairs = CONTRACTS["vector_pairs"][0](spark, d)
+    nodes = pairs.select("doc", F.col("i").alias("node")).unionByName(pairs.select("doc", F.col("j").alias("node"))).distinct()
+    labels = coherence.components(nodes, pairs.filter("sim >= 0.25"), "doc")
+    sizes = labels.groupBy("doc", "component").agg(F.count("*").alias("n")).groupBy("doc").agg(F.max("n").alias("top"), F.sum("n").alias("s"))
+    return sizes.select("doc", F.round(F.col("top") / F.col("s"), 6).alias("semantic_largest_component_size"))
+
+
+QUERIES |= {f.__name__: f for f in (components, semantic_components)}
+ORACLE["semantic_components"] = f"WITH RECURSIVE {_VECS}, {_PAIRS}, " + """e AS (SELECT doc, i, j FROM pairs WHERE sim >= 0.25 UNION SELECT doc, j, i FROM pairs WHERE sim >= 0.25),
+reach AS (SELECT doc, i AS a, i AS b FROM vecs UNION SELECT r.doc, r.a, e.j FROM reach AS r JOIN e ON e.doc = r.doc AND e.i = r.b), z AS (SELECT doc, a, count(*) AS n FROM reach GROUP BY doc, a), s AS (SELECT doc, count(*) AS s FROM vecs GROUP BY doc)
+SELECT z.doc, round(max(n) / CAST(max(s.s) AS DOUBLE), 6) AS semantic_largest_component_size FROM z JOIN s ON s.doc = z.doc GROUP BY z.doc"""
 ORACLE["components"] = "WITH RECURSIVE " + ", ".join(CONTRACTS["entity_edges"][1]) + """, both_ways AS (SELECT doc_id, i, j FROM entity_edges UNION SELECT doc_id, j, i FROM entity_edges),
 reach AS (SELECT doc_id, sent_idx AS a, sent_idx AS b FROM sents UNION SELECT r.doc_id, r.a, e.j FROM reach AS r JOIN both_ways AS e ON e.doc_id = r.doc_id AND e.i = r.b),
 sizes AS (SELECT doc_id, a, count(*) AS n FROM reach GROUP BY doc_id, a), s AS (SELECT doc_id, count(*) AS s FROM sents GROUP BY doc_id)

@@ -89,9 +89,15 @@ SQL["deixis_and_tense"] = (f"""WITH x AS (SELECT doc_id, {' + '.join(_count(w) f
 v AS (SELECT doc_id, CAST(sum(CASE WHEN pos = 'VERB' AND lower LIKE '%ed' THEN 1 ELSE 0 END) AS DOUBLE) / NULLIF(sum(CASE WHEN pos = 'VERB' THEN 1 ELSE 0 END), 0) AS past_tense FROM tokens GROUP BY doc_id)
 SELECT x.doc_id, CAST(deixis AS BIGINT) AS temp_deixis_consistency, round(1 - abs(coalesce(past_tense, 0.5) - CASE WHEN past_words > 0 THEN 1.0e0 ELSE 0.5e0 END), 6) AS temp_tense_time_alignment, round(CAST(deixis AS DOUBLE) / greatest(1, stops), 6) AS deixis_per_sentence FROM x LEFT JOIN v ON v.doc_id = x.doc_id""", ("documents", "tokens"))
 
+# Markers around the first occurrence of two words, and the text within 200 characters of both; the unmarked text if one is missing.
+SQL["event_markers"] = ("""WITH x AS (SELECT doc_id, text, strpos(text, ' was ') + 1 AS a, strpos(text, ' the ') + 1 AS b FROM documents WHERE text IS NOT NULL),
+y AS (SELECT *, least(a, b) AS p, greatest(a, b) AS q FROM x)
+SELECT doc_id, CASE WHEN p > 1 THEN substring(text, 1, p - 1) || '<e1> ' || substring(text, p, 3) || ' </e1>' || substring(text, p + 3, q - p - 3) || '<e2> ' || substring(text, q, 3) || ' </e2>' || substring(text, q + 3, length(text)) ELSE text END AS marked,
+  CASE WHEN p > 1 THEN substring(text, greatest(1, p - 200), q + 203 - greatest(1, p - 200)) END AS around FROM y""", ("documents",))
+
 QUERIES, ORACLE = {}, {}
 for _name, (_sql, _tables) in SQL.items():
-    QUERIES[_name], ORACLE[_name] = query(_name, _sql, _tables)
+    QUERIES[_name], ORACLE[_name] = query(_name, _sql, _tables, _sql.replace("strpos(", "instr("))
 
 
 def raw_graph(spark: SparkSession, d: str) -> DataFrame:

@@ -80,6 +80,16 @@ def test_statistics(spark):
     assert stats.roc_auc(p.limit(0), "y", "s").first()[0] is None
 
 
+def test_wilcoxon_and_saved_models(spark, tmp_path):
+    low, p = stats.wilcoxon([1, 2, 3, 4, 5, 6], [2, 4, 6, 8, 10, 12])
+    assert low == 0 and 0.02 < p < 0.04 and stats.wilcoxon([1], [1]) == (0.0, 1.0)
+    df = spark.range(40).select(F.col("id").alias("k"), (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 2 * 1.0).alias("x"))
+    table = ml.prepared(df, ["x"], "y", "k")
+    ml.save(ml.pipeline(["x"], "logistic").fit(table), ["x"], str(tmp_path / "m"))
+    model, meta = ml.load(str(tmp_path / "m"))
+    assert meta["features"] == ["x"] and ml.evaluate(ml.predict(model, table))["f1"] == 1.0
+
+
 def test_models_learn_and_curves_plateau(spark):
     df = spark.range(200).select(F.col("id").alias("k"), (F.col("id") % 2).cast("int").alias("y"), ((F.col("id") % 2) * 2 + F.rand(3)).alias("good"), F.rand(4).alias("bad"))
     fitted, _, test = ml.holdout(df, ["good", "bad"], "y", "k", "logistic")
