@@ -1,11 +1,12 @@
 """Nearest-neighbour hot-deck: missing values are copied from the most similar complete records.
 
 Records are put into hash blocks of their observed mixed features, from fine to coarse. A missing
-value looks for donors in the finest block with enough of them. Blocks of any size are cut into runs
-of about RUN records along an ordering feature (records that tie on it are spread by a hash), so that
-no task ever holds a whole hot block; inside a run the donors are compared exactly. The value is
-the weighted median (for categories the weighted majority) of the K nearest donors, and the nearest
-donor is named.
+value looks for donors in the finest block with enough of them. The donors of blocks of any size are cut into
+runs of about RUN records along an ordering feature (records that tie on it are spread by a hash), the
+asking records into chunks of about RUN, so that no task ever holds a whole hot block; each chunk meets each
+run of its block, and the K nearest donors of the runs are merged to those of the block. So the search in a block is
+exact, and its work grows with asking records times donors. The value is the weighted median (for
+categories the weighted majority) of the K nearest donors, and the nearest donor is named.
 
 Cases: null in any feature leaves it out of the distance; records equal in all features tie and are taken
 by key; repeated rows are filled alike; a value without any donor in the whole table stays null with state
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from glyphmill.functions.batches import map_batches
+from glyphmill.session import materialize
+
 P = "__hd_"
 RUN = 4096
 K = 5
@@ -85,7 +89,7 @@ def _placed(rows: DataFrame, deck: Deck) -> DataFrame:
 
 
 def _runs(pool: DataFrame) -> DataFrame:
-    """``pool`` with the run of its block that each record belongs to."""
+    """``pool`` with the run of its block, and the part of the run, that each record belongs to."""
     block = [f"{P}level", f"{P}block"]
     low_high = pool.groupBy(*block).agg(F.min(f"{P}o").alias(f"{P}lo"), F.max(f"{P}o").alias(f"{P}hi"))
     width = F.greatest(F.col(f"{P}hi") - F.col(f"{P}lo"), F.lit(1e-9))
@@ -104,15 +108,17 @@ def _weighted_median(values: np.ndarray, weights: np.ndarray) -> float:
     return values[order][int(np.searchsorted(cum, cum[-1] / 2))]
 
 
-def _filler(n_fields: int, n_numeric: int, n_categories: int, text: list[bool], scales: list[float], weights: list[float]):
-    def fill(run: pd.DataFrame) -> pd.DataFrame:
+def _nearest(n_fields: int, n_numeric: int, n_categories: int, scales: list[float], weights: list[float]):
+    """For each asking record of a group its K nearest donors there; ``f`` is -1 in donors."""
+
+    def nearest(run: pd.DataFrame) -> pd.DataFrame:
         numeric = run[[f"{P}n{i}" for i in range(n_numeric)]].to_numpy(float) / np.array(scales)
         categories = run[[f"{P}c{i}" for i in range(n_categories)]].apply(lambda c: pd.factorize(c)[0]).to_numpy() if n_categories else np.zeros((len(run), 0), int)
-        keys, asked = run[f"{P}key"].to_numpy(), run[f"{P}f"].to_numpy()
+        keys, asked, rows = run[f"{P}key"].to_numpy(), run[f"{P}f"].to_numpy(), run[f"{P}row"].to_numpy()
         values = [run[f"{P}v{i}"].to_numpy() for i in range(n_fields)]
         importance = np.array(weights, float)
         donors_all = np.flatnonzero(asked < 0)
-        out: dict[str, list] = {f"{P}key": [], f"{P}f": [], f"{P}number": [], f"{P}text": [], f"{P}donor": []}
+        at, near_at, far = [], [], []
         for f in range(n_fields):
             donors = donors_all[~pd.isna(values[f][donors_all])]
             if not len(donors):
@@ -123,22 +129,38 @@ def _filler(n_fields: int, n_numeric: int, n_categories: int, text: list[bool],
                 known = ~np.isnan(gap)
                 same = (categories[donors] == categories[r]) & (categories[r] >= 0)
                 distance = (np.where(known, gap, 0) @ importance + (~same).sum(1) * 0.5) / np.maximum(1, known @ importance + categories.shape[1])
+                distance = distance.round(12)  # so that ties are the same in every run
                 near = np.argsort(distance, kind="stable")[:K]
-                weight = 1.0 / (distance[near] + 0.01)
-                picked = values[f][donors[near]]
-                if text[f]:
-                    votes: dict = {}
-                    for v, w in zip(picked, weight):
-                        votes[v] = votes.get(v, 0.0) + w
-                    number, word = np.nan, min(votes, key=lambda v: (-votes[v], v))
-                else:
-                    number, word = _weighted_median(picked.astype(float), weight), None
-                for k, v in zip(out, (keys[r], f, number, word, keys[donors[near[0]]])):
-                    out[k].append(v)
-        kinds = {f"{P}f": "int32", f"{P}number": "float64", f"{P}text": "object"}
-        return pd.DataFrame({k: pd.Series(v, dtype=kinds.get(k, run[f"{P}key"].dtype)) for k, v in out.items()})
-
-    return fill
+                at += [r] * len(near)
+                near_at += donors[near].tolist()
+                far += distance[near].tolist()
+        out = {f"{P}key": keys[at], f"{P}f": asked[at].astype("int32"), f"{P}row": rows[at], f"{P}far": np.array(far, float), f"{P}donor": keys[near_at]}
+        for i in range(n_fields):
+            out[f"{P}v{i}"] = values[i][near_at]
+        return pd.DataFrame(out)
+
+    return nearest
+
+
+def _value(text: list[bool]):
+    """The value that the merged donors of each asking record give."""
+
+    def value(columns: dict[str, list]) -> dict[str, object]:
+        out: dict[str, list] = {f"{P}key": columns[f"{P}key"], f"{P}f": columns[f"{P}f"], f"{P}number": [], f"{P}text": [], f"{P}donor": []}
+        for f, near in zip(columns[f"{P}f"], columns[f"{P}near"]):
+            weight = [1.0 / (d["far"] + 0.01) for d in near]
+            if text[f]:
+                votes: dict = {}
+                for d, w in zip(near, weight):
+                    votes[d[f"v{f}"]] = votes.get(d[f"v{f}"], 0.0) + w
+                number, word = None, min(votes, key=lambda v: (-votes[v], v))
+            else:
+                number, word = float(_weighted_median(np.array([d[f"v{f}"] for d in near], float), np.array(weight))), None
+            for k, v in ((f"{P}number", number), (f"{P}text", word), (f"{P}donor", near[0]["donor"])):
+                out[k].append(v)
+        return out
+
+    return value
 
 
 def impute(df: DataFrame, deck: Deck) -> DataFrame:
@@ -156,15 +178,28 @@ def impute(df: DataFrame, deck: Deck) -> DataFrame:
     features = [f"{P}n{i}" for i in range(len(deck.numeric))] + [f"{P}c{i}" for i in range(len(deck.categories))]
     kept = [f"{P}key", *[f"{P}v{i}" for i in range(n)], *features, f"{P}o", f"{P}level", f"{P}block", f"{P}f"]
     asked = asked.filter(F.col(f"{P}level").isNotNull()).select(*kept)
+    # equal records ask once; the hash tells records apart that share a key
+    asked = asked.withColumn(f"{P}row", F.xxhash64(*[c for c in kept if c != f"{P}f"])).dropDuplicates([f"{P}key", f"{P}f", f"{P}row"])
+    asked = materialize(asked)
     needed = asked.select(f"{P}level", f"{P}block").distinct()
     levels = F.explode(F.array(*[F.struct(F.lit(i).alias("l"), F.col(f"{P}b{i}").alias("b")) for i in range(len(deck.levels))]))
     donors = rows.select("*", levels.alias(f"{P}x")).withColumns({f"{P}level": F.col(f"{P}x.l"), f"{P}block": F.col(f"{P}x.b"), f"{P}f": F.lit(-1)})
     donors = donors.join(needed, [f"{P}level", f"{P}block"], "left_semi").select(*kept)
-    pool = _runs(donors.unionByName(asked))
-    filled = pool.groupBy(f"{P}level", f"{P}block", f"{P}run", f"{P}part").applyInPandas(
-        _filler(n, len(deck.numeric), len(deck.categories), text, scales, [deck.weights.get(f, 1.0) for f in deck.numeric]),
-        f"{P}key {key_type}, {P}f int, {P}number double, {P}text string, {P}donor {key_type}",
+    block = [f"{P}level", f"{P}block"]
+    place = [*block, f"{P}run", f"{P}part", f"{P}chunk"]
+    donors = materialize(_runs(materialize(donors.withColumn(f"{P}row", F.lit(0).cast("bigint")))))
+    chunks = asked.groupBy(*block).agg(F.ceil(F.count("*") / RUN).alias(f"{P}chunks"))
+    asked = asked.join(chunks, block).withColumn(f"{P}chunk", F.pmod(F.xxhash64(f"{P}key", f"{P}row"), f"{P}chunks")).drop(f"{P}chunks")
+    asked = asked.join(donors.select(*block, f"{P}run", f"{P}part").distinct(), block)
+    donors = donors.join(chunks, block).withColumn(f"{P}chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{P}chunks") - 1))).drop(f"{P}chunks")
+    types = ["string" if t else "double" for t in text]
+    near = donors.unionByName(asked).groupBy(*place).applyInPandas(
+        _nearest(n, len(deck.numeric), len(deck.categories), scales, [deck.weights.get(f, 1.0) for f in deck.numeric]),
+        f"{P}key {key_type}, {P}f int, {P}row bigint, {P}far double, {P}donor {key_type}, " + ", ".join(f"{P}v{i} {t}" for i, t in enumerate(types)),
     )
+    best = F.struct(F.col(f"{P}far").alias("far"), F.col(f"{P}donor").alias("donor"), *[F.col(f"{P}v{i}").alias(f"v{i}") for i in range(n)])
+    merged = near.groupBy(f"{P}key", f"{P}f", f"{P}row").agg(F.slice(F.sort_array(F.collect_list(best)), 1, K).alias(f"{P}near")).drop(f"{P}row")
+    filled = map_batches(merged, _value(text), f"{P}key {key_type}, {P}f int, {P}number double, {P}text string, {P}donor {key_type}")
     wide = filled.groupBy(f"{P}key").agg(*[F.max(F.when(F.col(f"{P}f") == i, F.struct(F.col(f"{P}number"), F.col(f"{P}text"), F.col(f"{P}donor")))).alias(f"{P}r{i}") for i in range(n)])
     out = mark(df, deck).join(wide, F.col(deck.key) == F.col(f"{P}key"), "left")
     for i, f in enumerate(deck.fields):

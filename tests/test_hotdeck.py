@@ -83,3 +83,18 @@ def test_no_donors_empty_table_and_categories(spark):
     own = hotdeck.Deck("k", {"c": F.col("c").isNull()}, {"x": F.col("x")}, {}, ((),), F.col("x"))
     got = hotdeck.impute(spark.createDataFrame([(1, "a", 1.0), (2, "a", 1.1), (3, "b", 9.0), (4, None, 1.05)], "k int, c string, x double"), own).filter("k = 4").first()
     assert got["c"] == "a" and got["c_donor"] in (1, 2)
+
+
+def test_donors_of_all_runs_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(hotdeck, "RUN", 20)
+    rng = random.Random(6)
+    # the ordering feature says little, so the nearest donors lie in other runs; the last run has an asking record alone
+    data = [(i, float(i), rng.random() * 1000, None if i % 6 == 0 or i == 240 else float(rng.randint(0, 99))) for i in range(241)]
+    df = spark.createDataFrame(data + data[:1], "k int, o double, y double, v double")
+    deck = hotdeck.Deck("k", {"v": F.col("v").isNull()}, {"y": F.col("y")}, {}, ((),), F.col("o"))
+    out = {r["k"]: r for r in hotdeck.impute(df, deck).collect()}
+    assert hotdeck.impute(df, deck).count() == 242
+    for k, _, y, v in data:
+        if v is None:
+            near = sorted((d for d in data if d[3] is not None), key=lambda d: abs(d[2] - y))[: hotdeck.K]
+            assert out[k]["v_state"] == "filled" and out[k]["v_donor"] == near[0][0] and out[k]["v"] in [d[3] for d in near]
