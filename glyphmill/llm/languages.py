@@ -233,7 +233,7 @@ def label_code(column: Column) -> Column:
 
 
 def sample(documents: DataFrame, per_language: int = FIT_DOCUMENTS) -> list[tuple[str, str]]:
-    """(text, language) of a bounded, hash-drawn sample of labelled documents, about as many for each language."""
+    """(text, language) of a bounded, hash-drawn sample of labelled documents, about as many for each language; no text more than ``per_language`` times."""
     labelled = documents.select("text", label_code(F.col("lang")).alias("code")).filter(F.col("code").isin(*LANGUAGES) & F.col("text").isNotNull())
     counts = {r["code"]: r["n"] for r in documents.select(label_code(F.col("lang")).alias("code")).groupBy("code").agg(F.count("*").alias("n")).collect()}
     chance = F.lit(0)
@@ -241,21 +241,22 @@ def sample(documents: DataFrame, per_language: int = FIT_DOCUMENTS) -> list[tupl
         if counts.get(code):
             chance = F.when(F.col("code") == code, F.lit(int(1_000_000 * min(1.0, per_language / counts[code])))).otherwise(chance)
     drawn = labelled.filter(F.pmod(F.xxhash64("text", F.lit("language")), F.lit(1_000_000)) < chance)
-    return [(r["text"], r["code"]) for r in drawn.limit(3 * per_language * len(LANGUAGES)).collect()]
+    copies = drawn.groupBy("text", "code").agg(F.least(F.count("*"), F.lit(per_language)).alias("n"))
+    return [x for r in copies.collect() for x in [(r["text"], r["code"])] * r["n"]]
 
 
 def fit(documents: DataFrame, per_language: int = FIT_DOCUMENTS) -> tuple[prose.LineModel, LanguageModel]:
-    """The line model and the language model, both fitted on the drawn sample."""
+    """The line model, fitted on all documents as for p5, and the language model, fitted on the drawn sample."""
+    lines = prose.fit(documents)
     drawn = sorted(sample(documents, per_language))
-    lines = prose.fit([t for t, _ in drawn])
     units, labels = [], []
     split = prose.units_of([t for t, _ in drawn])
     if drawn:
         share = prose.profile(split, lines)["prose_share"]
         for u, (_, code), s in zip(split, drawn, share):
             if s >= prose.PROSE_SHARE:
-                units += u[:40]
-                labels += [LANGUAGES.index(code)] * len(u[:40])
+                units += u
+                labels += [LANGUAGES.index(code)] * len(u)
     return lines, train(units, labels)
 
 

@@ -7,8 +7,8 @@ junk labels the sequence by its most probable path; a document's label shares ar
 words (of its characters, where it has hardly any words).
 
 The model starts from stated expectations for each state and is then fitted by two rounds of
-Viterbi training on a bounded sample of documents (``fit_documents``); the expectations count as
-``PRIOR`` lines, so a small or odd sample cannot turn states around.
+Viterbi training on all documents: the tasks add up how often each state has each class and follows each state;
+the expectations count as ``PRIOR`` lines, so few or odd documents cannot turn states around.
 
 Cases: null and blank texts have zero words, null in every other measure, and are never found; a text
 without any line break is cut into sentences; very long texts are processed whole; repeated rows give
@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.batches import map_batches
 from glyphmill.llm.words import visible
+from glyphmill.session import materialize
 
 STATES = ("prose", "list", "table", "junk")
 LONG = 160
 PRIOR = 400.0
-FIT_DOCUMENTS = 2000
 #: A document whose share of prose words is below this isn't prose.
 PROSE_SHARE = 0.5
 
@@ -186,23 +186,29 @@ class LineModel:
                 state[:live] = back[at, state[:live]]
         return labels
 
-    def refit(self, codes: np.ndarray, starts: np.ndarray) -> LineModel:
-        """One round of Viterbi training from the sample, with the stated expectations as prior lines."""
+    def counts(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """How many lines of a batch the most probable paths have for each feature, state and class; then the moves between states."""
         labels = self.label(codes, starts)
-        base = LineModel()
-        emissions = []
+        out = []
         for f, (_, classes) in enumerate(FEATURES):
-            seen = np.zeros((len(STATES), classes))
-            np.add.at(seen, (labels, codes[:, f]), 1.0)
-            total = seen + PRIOR * base.emissions[f]
-            emissions.append(total / total.sum(1, keepdims=True))
+            seen = np.zeros((len(STATES), classes), np.int64)
+            np.add.at(seen, (labels, codes[:, f]), 1)
+            out.append(seen.ravel())
         inner = np.ones(len(codes), bool)
         inner[starts[:-1][np.diff(starts) > 0]] = False
         inner = np.flatnonzero(inner)
-        seen = np.zeros((len(STATES), len(STATES)))
-        np.add.at(seen, (labels[inner - 1], labels[inner]), 1.0)
-        moves = seen + PRIOR * base.moves
-        return LineModel(emissions, moves / moves.sum(1, keepdims=True))
+        seen = np.zeros((len(STATES), len(STATES)), np.int64)
+        np.add.at(seen, (labels[inner - 1], labels[inner]), 1)
+        return np.concatenate([*out, seen.ravel()])
+
+    @staticmethod
+    def estimated(counts: np.ndarray) -> LineModel:
+        """The model of summed counts, with the stated expectations as prior lines."""
+        base = LineModel()
+        parts = np.split(counts.astype(float), np.cumsum([len(STATES) * classes for _, classes in FEATURES]))
+        emissions = [x.reshape(len(STATES), -1) + PRIOR * e for x, e in zip(parts, base.emissions)]
+        moves = parts[-1].reshape(len(STATES), -1) + PRIOR * base.moves
+        return LineModel([e / e.sum(1, keepdims=True) for e in emissions], moves / moves.sum(1, keepdims=True))
 
 
 def units_of(texts: list[str | None]) -> list[list[str]]:
@@ -220,13 +226,31 @@ def observed(units: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return codes, np.hstack([counts, sizes]), starts
 
 
-def fit(texts: list[str]) -> LineModel:
-    """The line model, fitted on a bounded sample of texts."""
+def _coded(columns: dict[str, list]) -> dict[str, object]:
+    codes, _, starts = observed(units_of(columns["text"]))
+    return {"codes": [codes[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])]}
+
+
+def _counter(model: LineModel):
+    def count(columns: dict[str, list]) -> dict[str, object]:
+        codes = np.frombuffer(b"".join(columns["codes"]), np.int8).reshape(-1, len(FEATURES))
+        starts = np.concatenate([[0], np.cumsum([len(c) // len(FEATURES) for c in columns["codes"]], dtype=np.int64)]).astype(np.int64)
+        n = model.counts(codes, starts)
+        return {"place": np.arange(len(n)), "n": n}
+
+    return count
+
+
+def fit(documents: DataFrame) -> LineModel:
+    """The line model, fitted on all documents; only the sums of its counts come to the driver."""
     model = LineModel()
-    codes, _, starts = observed(units_of(texts))
+    coded = materialize(map_batches(documents.select("text").filter(F.col("text").isNotNull()), _coded, "codes binary"))
+    size = len(STATES) * (sum(classes for _, classes in FEATURES) + len(STATES))
     for _ in range(2):
-        if len(codes):
-            model = model.refit(codes, starts)
+        counts = np.zeros(size, np.int64)
+        for r in map_batches(coded, _counter(model), "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect():
+            counts[r["place"]] = r["n"]
+        model = LineModel.estimated(counts)
     return model
 
 
@@ -256,19 +280,9 @@ def profile(units: list[list[str]], model: LineModel) -> dict[str, np.ndarray]:
     return out
 
 
-def bounded_sample(documents: DataFrame, column: str, rows: int) -> list[str]:
-    """At most about ``rows`` texts, drawn by a hash of the text, the same at every run."""
-    total = documents.filter(F.col(column).isNotNull()).count()
-    if not total:
-        return []
-    keep = min(1.0, rows / total)
-    drawn = documents.select(column).filter(F.col(column).isNotNull() & (F.pmod(F.xxhash64(column), F.lit(1_000_000)) < int(keep * 1_000_000)))
-    return [r[0] for r in drawn.limit(2 * rows).collect()]
-
-
-def statistics(documents: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
+def statistics(documents: DataFrame) -> DataFrame:
     """doc_id with word count, mean word length, ratios and label shares of each document."""
-    model = fit(bounded_sample(documents, "text", fit_documents))
+    model = fit(documents)
 
     def batch(columns: dict[str, list]) -> dict[str, object]:
         return {"doc_id": columns["doc_id"]} | profile(units_of(columns["text"]), model)

@@ -109,3 +109,20 @@ def test_reading_levels(spark):
     assert levels[1] > 75 and levels[2] < 35 and levels[3] is None and levels[4] is None
     assert sorted(tuple(r) for r in D.found(d, g, f).collect()) == [(1, "easy"), (2, "hard")]
     assert D.found(d.limit(0), g, f).count() == 0 and D.found(d, g.limit(0), f).count() == 0
+
+
+def test_line_model_counts_all_documents(spark):
+    texts = [f"{t}\n{i} x" for i in range(900) for t in TEXTS.values()] + [None, " "]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    codes, _, starts = P.observed(P.units_of(texts))
+    want = P.LineModel()
+    for _ in range(2):
+        want = P.LineModel.estimated(want.counts(codes, starts))
+    for got in (P.fit(df.repartition(5)), G.fit(df, 20)[0]):
+        assert np.allclose(got.moves, want.moves) and all(np.allclose(a, b) for a, b in zip(got.emissions, want.emissions))
+
+
+def test_repeated_text_does_not_fill_the_sample(spark):
+    rows = [(SENTENCES["en"][0], "en")] * 31 + [(t, code) for code, s in SENTENCES.items() if code != "en" for t in s]
+    drawn = G.sample(spark.createDataFrame(rows, "text string, lang string"), 30)
+    assert drawn.count((SENTENCES["en"][0], "en")) == 30 and len(drawn) == 45
