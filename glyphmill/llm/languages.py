@@ -6,7 +6,7 @@ penalties, which leaves a sparse model; a temperature fitted on held-out segment
 into confidences. It is trained on a bounded, hash-drawn sample of documents that carry a usable
 label (``fit_documents`` for each language), once on all of its segments and once more without those
 that the first model holds for mislabelled. Every document is then scored in whole, segment
-by segment.
+by segment. Lines of any length are cut at their sentence ends here; the line model keeps whole short lines.
 
 Letters are mapped to an alphabet of 64 signs, so every pair and triple has its own weight and the
 model's size is fixed.
@@ -253,7 +253,7 @@ def fit(documents: DataFrame, per_language: int = FIT_DOCUMENTS) -> tuple[prose.
     split = prose.units_of([t for t, _ in drawn])
     if drawn:
         share = prose.profile(split, lines)["prose_share"]
-        for u, (_, code), s in zip(split, drawn, share):
+        for u, (_, code), s in zip(prose.sentences_of(split), drawn, share):
             if s >= prose.PROSE_SHARE:
                 units += u
                 labels += [LANGUAGES.index(code)] * len(u)
@@ -295,8 +295,7 @@ def segments(documents: DataFrame, per_language: int = FIT_DOCUMENTS) -> DataFra
     _, model = fit(documents, per_language)
 
     def batch(columns: dict[str, list]) -> dict[str, object]:
-        units = prose.units_of(columns["text"])
-        language, sure, n_words, starts = segment_batch(units, model)
+        language, sure, n_words, starts = segment_batch(prose.sentences_of(prose.units_of(columns["text"])), model)
         out: dict[str, list] = {k: [] for k in ("doc_id", "segment", "lang", "n_words", "confidence")}
         for d, (doc, a, b) in enumerate(zip(columns["doc_id"], starts[:-1], starts[1:])):
             i, no = a, 0
@@ -320,7 +319,7 @@ def document_languages(documents: DataFrame, per_language: int = FIT_DOCUMENTS)
 
     def batch(columns: dict[str, list]) -> dict[str, object]:
         units = prose.units_of(columns["text"])
-        language, sure, n_words, starts = segment_batch(units, model)
+        language, sure, n_words, starts = segment_batch(prose.sentences_of(units), model)
         part = shares(language, n_words, starts)
         natural = prose.profile(units, lines)["prose_share"]
         held = np.bincount(np.repeat(np.arange(len(units)), np.diff(starts)) * len(LANGUAGES) + language, sure * n_words, len(units) * len(LANGUAGES)).reshape(-1, len(LANGUAGES))

@@ -216,6 +216,11 @@ def units_of(texts: list[str | None]) -> list[list[str]]:
     return [lines(visible(t)) if t and not t.isspace() else [] for t in texts]
 
 
+def sentences_of(units: list[list[str]]) -> list[list[str]]:
+    """The units of each text cut at all sentence ends, however short the lines are."""
+    return [[x for line in document for x in _SENTENCE.split(line) if x and not x.isspace()] for document in units]
+
+
 def observed(units: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature codes and counts of all lines of a batch, and the starts of its documents."""
     seen = [observe(line) for document in units for line in document]

@@ -155,7 +155,7 @@ def levels(documents: DataFrame, generations: DataFrame, features: DataFrame) ->
 
     def batch(columns: dict[str, list]) -> dict[str, object]:
         units = prose.units_of(columns["text"])
-        language, _, n_words, starts = languages.segment_batch(units, speech)
+        language, _, n_words, starts = languages.segment_batch(prose.sentences_of(units), speech)
         part = languages.shares(language, n_words, starts)
         tokens = [words(t) for t in columns["text"]]
         return {

@@ -126,3 +126,12 @@ def test_repeated_text_does_not_fill_the_sample(spark):
     rows = [(SENTENCES["en"][0], "en")] * 31 + [(t, code) for code, s in SENTENCES.items() if code != "en" for t in s]
     drawn = G.sample(spark.createDataFrame(rows, "text string, lang string"), 30)
     assert drawn.count((SENTENCES["en"][0], "en")) == 30 and len(drawn) == 45
+
+
+def test_foreign_sentence_on_a_short_line(spark):
+    both = SENTENCES["en"][0] + " " + SENTENCES["de"][0]
+    assert len(both) <= P.LONG
+    df = spark.createDataFrame([*corpus(), (200, both, "en", "x"), (201, both + "\n" + SENTENCES["en"][1] + " " + SENTENCES["de"][1], "en", "x")], "doc_id bigint, text string, lang string, label string")
+    runs = [(r["doc_id"], r["lang"]) for r in G.segments(df).filter("doc_id >= 200").orderBy("doc_id", "segment").collect()]
+    assert runs == [(200, "en"), (200, "de"), (201, "en"), (201, "de"), (201, "en"), (201, "de")]
+    assert {tuple(r) for r in G.found(df).filter("doc_id >= 200").collect()} == {(d, c) for d in (200, 201) for c in ("en", "de")}
