@@ -34,7 +34,7 @@ def feature_importance(s: SparkSession, d: str) -> DataFrame:
 def permutation_importance(s: SparkSession, d: str) -> DataFrame:
     table = ml.prepared(_table(s, d), FEATURES, "is_ai", "row_id")
     fitted = ml.pipeline(FEATURES, "logistic").fit(table)
-    return s.createDataFrame(ml.permutation_importance(fitted, table, FEATURES[:3], "row_id", 1), "feature string, importance double")
+    return s.createDataFrame(ml.permutation_importance(fitted, table, FEATURES, "row_id"), "feature string, importance double")
 
 
 def family_ablation(s: SparkSession, d: str) -> DataFrame:
