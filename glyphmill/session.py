@@ -38,12 +38,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through a compressed table in the shared checkpoint folder.
 
     Unlike cached blocks it survives the loss of executors. The table is removed when the driver ends.
+    Its compressed size says little about its rows, so it is never broadcast on an estimate (the hint holds for what is
+    derived from it row by row, too); a side with a proven bound takes ``F.broadcast`` itself.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/glyphmill-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).hint("merge")
 
 
 _written: list[tuple[SparkSession, str]] = []
