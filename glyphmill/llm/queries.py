@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import crosssplit, languages, leakage, mixing, proportions, prose, reading, repetition, truncation
+from glyphmill.llm import crosssplit, languages, leakage, mixing, proportions, prose, reading, repetition, truncation, truncation_oracle
 from glyphmill.session import read_table
 
 
@@ -34,16 +34,12 @@ def p1_unmet(spark: SparkSession, d: str) -> DataFrame:
     return p1_report(spark, d).filter("not target_met or not minimum_met")
 
 
-def _truncation(spark: SparkSession, d: str, sql: str) -> DataFrame:
-    return truncation.run(spark, {t: read_table(spark, d, t) for t in truncation.TABLES}, sql)
-
-
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _truncation(spark, d, truncation.found_sql(truncation.SPARK))
+    return truncation.found({t: read_table(spark, d, t) for t in truncation.TABLES})
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    return _truncation(spark, d, truncation.report_sql(truncation.SPARK))
+    return truncation.report({t: read_table(spark, d, t) for t in truncation.TABLES})
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -121,4 +117,4 @@ def p6_ablation(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_sample, p1_report, p1_unmet, p2_found, p2_report, p3_found, p3_report, p4_found, p4_levels, p4_word_grades, p5_found, p5_statistics, p6_found, p6_ledger, p6_policies, p6_ablation, p8_found, p8_report, p9_mix, p9_report, p10_found, p10_documents, p10_segments)
 }
-ORACLE: dict[str, str] = {"p2_found": truncation.found_sql(truncation.DUCKDB), "p2_report": truncation.report_sql(truncation.DUCKDB)}
+ORACLE: dict[str, str] = {"p2_found": truncation_oracle.FOUND, "p2_report": truncation_oracle.REPORT}
