@@ -7,7 +7,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -17,6 +18,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hash_below(value: Column, share: float | Column) -> Column:
+    """Whether the 64-bit hash of ``value`` lies in the lowest ``share`` of its range, however small the share is."""
+    share = F.lit(share) if isinstance(share, float) else share
+    return F.xxhash64(value) / F.lit(2.0**64) + F.lit(0.5) < share
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
@@ -29,6 +36,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if configured is None:
+        if not context.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         configured = os.path.join(tempfile.gettempdir(), "glyphmill-checkpoints")
     context.setCheckpointDir(configured)
     return configured
