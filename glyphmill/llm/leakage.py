@@ -14,8 +14,9 @@ BLOCK_WORDS words, so what is sent to the tasks has a fixed bound however many i
 
 Cases: null, blank and wordless documents or items match nothing; passages shorter than STRETCH
 words match nothing; repeated rows of a document or an item give a pair once; lines that SHARED
-or more items hold (instructions) and a closing line with a question belong to no passage; extra
-columns are ignored; empty tables give no rows.
+or more items hold (instructions) and a closing line with a question belong to no passage, unless the item has no passage of
+STRETCH words without them: then long shared lines count as a passage of several items, and after those the question, too;
+extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -119,10 +120,16 @@ def stretch_at(passage: list[str], tokens: list[str], place: int, at: int) -> tu
 
 
 def passages(items: DataFrame) -> DataFrame:
-    """``items(item_id, text)`` to their passages: lines without shared instructions and the closing question."""
+    """``items(item_id, text)`` to their passages: as few of shared lines and the closing question as leave STRETCH words."""
     canonical = map_batches(items.select("item_id", "text"), _lines, "item_id bigint, line_no int, last boolean, line string, question boolean")
-    shared = canonical.groupBy("line").agg(F.count_distinct("item_id").alias("n")).filter(F.col("n") >= SHARED)
-    own = canonical.join(shared, "line", "left_anti").filter(~(F.col("last") & F.col("question")))
+    shared = canonical.groupBy("line").agg(F.count_distinct("item_id").alias("n")).filter(F.col("n") >= SHARED).select("line", F.lit(True).alias("shared"))
+    n_words = F.size(F.split("line", " "))
+    # 0: the item's own; 1: a long line of several items; 2: the closing question; 3: an instruction
+    rank = F.when(F.col("shared").isNotNull(), F.when(n_words >= STRETCH, 1).otherwise(3)).when(F.col("last") & F.col("question"), 2).otherwise(0)
+    ranked = canonical.join(shared, "line", "left").select("item_id", "line_no", "line", rank.alias("rank"), n_words.alias("n_words")).filter("rank < 3").distinct()
+    upto = ranked.groupBy("item_id").agg(*[F.coalesce(F.sum(F.when(F.col("rank") <= k, F.col("n_words"))), F.lit(0)).alias(f"n{k}") for k in (0, 1)])
+    most = upto.select("item_id", F.when(F.col("n0") >= STRETCH, 0).when(F.col("n1") >= STRETCH, 1).otherwise(2).alias("most"))
+    own = ranked.join(most, "item_id").filter(F.col("rank") <= F.col("most"))
     return own.groupBy("item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("line_no", "line"))), lambda x: x["line"]), " ").alias("passage"))
 
 

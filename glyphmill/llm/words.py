@@ -25,7 +25,7 @@ INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿￹-￻"
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 _LOOKALIKE = re.compile("[" + "".join(LOOKALIKES) + "]")
 _TABLE = str.maketrans(LOOKALIKES)
-_TAG = re.compile(r"<(?:/?[A-Za-z][^<>]{0,300}|!--.{0,2000}?--)>", re.S)
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _ENTITY = re.compile(r"&(?:#\d+|#x[0-9A-Fa-f]+|[A-Za-z]{2,8});")
 _LINK = re.compile(r"!?\[([^\[\]\n]*)\]\((?:[^()\s]*)\)")
 _WORD = re.compile(r"[^\W_]+")
@@ -41,6 +41,8 @@ def visible(text: str) -> str:
         if _LOOKALIKE.search(text):
             text = _lookalike(text)
     if "<" in text:
+        if "<!--" in text:
+            text = _uncommented(text)
         text = _TAG.sub(" ", text)
     if "&" in text and ";" in text:
         text = _ENTITY.sub(lambda m: html.unescape(m[0]), text)
@@ -49,6 +51,15 @@ def visible(text: str) -> str:
     return text
 
 
+def _uncommented(text: str) -> str:
+    """``text`` with a space for each comment; one without an end stays."""
+    out, at = [], 0
+    while (start := text.find("<!--", at)) >= 0 and (end := text.find("-->", start + 4)) >= 0:
+        out.append(text[at:start])
+        at = end + 3
+    return " ".join([*out, text[at:]])
+
+
 def _lookalike(text: str) -> str:
     """Only words that also hold Latin letters are mapped, unless no Latin letter is in the text at all."""
     if not re.search("[A-Za-z]", text):

@@ -48,3 +48,19 @@ def test_cases(spark, monkeypatch):
     assert sorted(tuple(r) for r in L.found(docs, items).collect()) == want
     assert L.found(docs.limit(0), items).count() == 0 and L.found(docs, items.limit(0)).count() == 0
     assert {r["item_id"]: r["n_documents"] for r in L.report(docs, items).collect()} == {1: 2, 2: 1, 3: 1}
+
+
+def test_passages_that_are_shared_or_end_in_a_question(spark):
+    passage = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    instruction = "Answer the question using only the text below."
+    items = [(1, f"{instruction}\n{passage[0]}?"), (2, f"{instruction}\n{passage[1]}\nWhat is b3?"), (3, f"{instruction}\n{passage[1]}\nWhat is b4?"), (4, f"{passage[1]}\nWhat is b5?"), (5, passage[2] + "?"), (6, f"{instruction}\n{passage[3]}\nIs it so?")]
+    docs = [(k, "before it. " + p + " and after it") for k, p in enumerate(passage)] + [(9, instruction * 5 + " Is it so? What is b3?")]
+    got = {(r["doc_id"], r["item_id"]) for r in L.found(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(0, 1), (1, 2), (1, 3), (1, 4), (2, 5), (3, 6)}
+
+
+def test_markup_of_any_length():
+    from glyphmill.llm.words import words
+
+    tag, comment = '<a title="' + "x y " * 500 + '">', "<!-- " + "no word " * 1000 + "-->"
+    assert words(f"one {tag}two</a> {comment} three <!-- open") == ["one", "two", "three", "open"]
