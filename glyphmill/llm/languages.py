@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.batches import map_batches
 from glyphmill.llm import prose
+from glyphmill.session import hash_below
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "nl")
 #: Documents drawn for each language to fit the model on.
@@ -236,13 +237,16 @@ def sample(documents: DataFrame, per_language: int = FIT_DOCUMENTS) -> list[tupl
     """(text, language) of a bounded, hash-drawn sample of labelled documents, about as many for each language; no text more than ``per_language`` times."""
     labelled = documents.select("text", label_code(F.col("lang")).alias("code")).filter(F.col("code").isin(*LANGUAGES) & F.col("text").isNotNull())
     counts = {r["code"]: r["n"] for r in documents.select(label_code(F.col("lang")).alias("code")).groupBy("code").agg(F.count("*").alias("n")).collect()}
-    chance = F.lit(0)
+    chance = F.lit(0.0)
     for code in LANGUAGES:
         if counts.get(code):
-            chance = F.when(F.col("code") == code, F.lit(int(1_000_000 * min(1.0, per_language / counts[code])))).otherwise(chance)
-    drawn = labelled.filter(F.pmod(F.xxhash64("text", F.lit("language")), F.lit(1_000_000)) < chance)
+            chance = F.when(F.col("code") == code, F.lit(min(1.0, per_language / counts[code]))).otherwise(chance)
+    drawn = labelled.filter(hash_below(F.concat(F.lit("language "), F.col("text")), chance))
     copies = drawn.groupBy("text", "code").agg(F.least(F.count("*"), F.lit(per_language)).alias("n"))
-    return [x for r in copies.collect() for x in [(r["text"], r["code"])] * r["n"]]
+    rows = [x for r in copies.collect() for x in [(r["text"], r["code"])] * r["n"]]
+    if not rows and not labelled.isEmpty():
+        raise ValueError("there are labelled documents, but none was drawn to fit the model on")
+    return rows
 
 
 def fit(documents: DataFrame, per_language: int = FIT_DOCUMENTS) -> tuple[prose.LineModel, LanguageModel]:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions.batches import fold_partitions, map_batches
 from glyphmill.llm import languages, prose
 from glyphmill.llm.words import words
+from glyphmill.session import hash_below
 
 EASIEST, HARDEST, WIDTH = 120.0, -80.0, 8.0
 GRADES = int((EASIEST - HARDEST) / WIDTH)
@@ -129,16 +130,23 @@ class ReadingModel:
         return np.where(n > 0, x @ self.coefficients, np.nan)
 
 
+def sample_share(total: int, wanted: int) -> float:
+    """Share of the hashes that draws about ``wanted`` of ``total`` rows."""
+    return min(1.0, wanted / max(1, total))
+
+
 def fit(generations: DataFrame, features: DataFrame, fit_texts: int = FIT_TEXTS) -> ReadingModel:
     """Word grades from all graded texts, calibrated on a bounded, hash-drawn sample of them."""
     graded = graded_texts(generations, features)
     grades = {r["word"]: min(STEPS - 1, int(r["acquired"] * STEPS / GRADES)) for r in word_grades(graded).toLocalIterator()}
     model = ReadingModel(grades)
     value = F.col("flesch_reading_ease")
-    total = features.filter(value.isNotNull()).count()
-    part = int(1_000_000 * min(1.0, fit_texts / max(1, total)))
-    drawn_ids = features.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < part)
-    rows = graded_texts(generations.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < part), drawn_ids).select("id", "text", "ease").limit(2 * fit_texts).collect()
+    part = sample_share(features.filter(value.isNotNull()).count(), fit_texts)
+    drawn = graded_texts(*(t.filter(hash_below(F.col("id"), part)) for t in (generations, features)))
+    # twice the expected number at most, in the order of the same hash
+    rows = drawn.select("id", "text", "ease").orderBy(F.xxhash64("id"), "id").limit(2 * fit_texts).collect()
+    if grades and not rows:
+        raise ValueError("there are graded texts, but none was drawn for the calibration")
     rows.sort(key=lambda r: r["id"])
     tokens = [words(r["text"]) for r in rows]
     return model.calibrate(tokens, np.array([r["ease"] for r in rows], float))

@@ -135,3 +135,18 @@ def test_foreign_sentence_on_a_short_line(spark):
     runs = [(r["doc_id"], r["lang"]) for r in G.segments(df).filter("doc_id >= 200").orderBy("doc_id", "segment").collect()]
     assert runs == [(200, "en"), (200, "de"), (201, "en"), (201, "de"), (201, "en"), (201, "de")]
     assert {tuple(r) for r in G.found(df).filter("doc_id >= 200").collect()} == {(d, c) for d in (200, 201) for c in ("en", "de")}
+
+
+def test_a_sample_of_any_corpus_draws_rows(spark):
+    from pyspark.sql import functions as F
+
+    from glyphmill.llm import reading
+    from glyphmill.session import hash_below
+
+    share = reading.sample_share(10**11, 3000)
+    assert 0 < share * 1e11 <= 3001
+    ids = spark.range(2_000_000).select(F.col("id").cast("string").alias("id"))
+    for part in (0.5, 1e-3, 1e-5):
+        n = ids.filter(hash_below(F.col("id"), part)).count()
+        assert abs(n - part * 2e6) < 6 * (part * 2e6) ** 0.5 + 1
+    assert ids.filter(hash_below(F.col("id"), 1.0)).count() == 2_000_000
