@@ -5,9 +5,9 @@ the keys are sorted within the source, and token counts are summed along them. A
 exceeds its size is first used in whole epochs, as many as fit and at most ``max_repeats``; what is
 left of the budget is filled from the sorted documents, up to the one that would pass it.
 
-Prefix sums run in two steps: over equal slices of the key range of each source (a small table), then
-within a slice, so the rows of a hot source are never in one task. Slices are numbered by the key's
-rank among all keys of the source by a uniform transform, which makes them about equal.
+Prefix sums run over all sources at once, in the order of source and key: the rows are partitioned by quantiles of this order,
+summed within a partition, and get the sum of the partitions before theirs, so a hot source or a heap of like
+keys is never in one task.
 
 Cases: null, blank and tokenless documents are never drawn; sources without a target, and targets without
 documents, are reported with what they have; null sources count as one without a target; copies are drawn
@@ -24,15 +24,14 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from glyphmill.functions.batches import map_batches
+from glyphmill.operators.ranking import running_sums
 from glyphmill.session import materialize
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split of a text before its merges that belongs to the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SLICES = 4096
 #: Longest piece handed to the tokenizer at once; pieces are cut at white space, where the pattern cuts as well.
 PIECE = 1 << 16
 
@@ -114,22 +113,12 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     rows = materialize(weighed(documents, path, seed))
     sizes = rows.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("size"))
     planned = materialize(plan(sizes, targets, total_tokens))
-    # keys are about exponential: 1 - exp(-key) spreads them over the slices, in order
-    placed = rows.withColumn("slice", F.least(F.floor((1 - F.exp(-F.col("key") * F.lit(0.7))) * SLICES), F.lit(SLICES - 1)).cast("int"))
-    slices = placed.groupBy("source", "slice").agg(F.sum("n_tokens").alias("slice_tokens"))
-    earlier = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    slices = slices.withColumn("before", F.coalesce(F.sum("slice_tokens").over(earlier), F.lit(0)))
-    budgets = planned.select(F.col("source").alias("of"), "epochs", "rest")
-    slices = slices.join(budgets, F.col("source").eqNullSafe(F.col("of")))
-    slices = slices.withColumn("part", F.when(F.col("before") + F.col("slice_tokens") <= F.col("rest"), "all").when(F.col("before") < F.col("rest"), "some").otherwise("none"))
-    ends = slices.select("of", F.col("slice").alias("at"), "before", "epochs", "rest", "part")
-    known = placed.join(ends, F.col("source").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("at")))
-    whole = known.filter("part <> 'some'").select("doc_id", "source", "n_tokens", (F.col("epochs") + (F.col("part") == "all").cast("bigint")).alias("times"))
-    # one slice of a source at most is cut by its budget
-    along = W.partitionBy("source", "slice").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    cut = known.filter("part = 'some'").withColumn("upto", F.col("before") + F.sum("n_tokens").over(along))
-    cut = cut.select("doc_id", "source", "n_tokens", (F.col("epochs") + (F.col("upto") <= F.col("rest")).cast("bigint")).alias("times"))
-    return whole.unionByName(cut).filter("times > 0"), planned
+    # targeted sources are as few as the targets
+    targeted = running_sums(planned.filter("share > 0 and size > 0"), ["source"], {"start": F.col("size")}).select(F.col("source").alias("of"), "epochs", "rest", "start")
+    known = rows.join(F.broadcast(targeted), F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "n_tokens", "key", "epochs", "rest", "start")
+    summed = running_sums(known, ["source", "key", "doc_id"], {"before": F.col("n_tokens")})
+    fits = F.col("before") - F.col("start") + F.col("n_tokens") <= F.col("rest")
+    return summed.select("doc_id", "source", "n_tokens", (F.col("epochs") + fits.cast("bigint")).alias("times")).filter("times > 0"), planned
 
 
 def report(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, path: str = TOKENIZER, seed: int = 7) -> DataFrame:
