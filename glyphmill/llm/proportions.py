@@ -6,12 +6,16 @@ cells (on the driver):
 
 1. each dimension's row numbers are set: minimums first, then shares, both up to what is there;
 2. expected cell numbers are fitted to them by proportional fitting under the cells' availability;
-3. their whole parts are fixed, and a minimum-cost flow from the categories of one dimension through the
-   cells to those of another places the rest: source and sink arcs carry the margins, the reward of
-   floors and the cost of going beyond a target, cell arcs the availability and a random cost that
-   favours large fractions, which makes the rounding random; the other dimensions enter as prices on the cell arcs,
-   raised and lowered until their margins fit; arcs for slack leave shortfalls open;
-4. exchanges between cells remove what deviation prices left.
+3. a minimum-cost flow of all rows runs from the categories of one dimension through the cells to those of another: source and
+   sink arcs carry the margins, the reward of floors and targets and the cost of going beyond them, cell arcs the
+   availability. The fitted numbers are only costs: a cell's arc is free up to the whole part, has a random cost
+   for the next row that favours large fractions, which makes the rounding random, and a higher one beyond. The other dimensions
+   enter as prices on the cell arcs, raised and lowered until their margins fit. What the flow leaves of a
+   floor or target is its slack: the shortfall in the report;
+4. exchanges between cells remove what deviation prices left in those dimensions, minimums of all dimensions first.
+
+A flow has two sides, so with more dimensions the result need not be the optimum; ``short_of_minimum``, ``short_of_wanted``
+and ``beyond_wanted`` state for each category what is left.
 
 Quotas are then drawn by hashed keys, exactly, from groups of any size.
 
@@ -33,7 +37,11 @@ OTHER = "(other)"
 #: Part of the distinct rows that is drawn unless a size is given.
 PART = 0.25
 TOLERANCE = 0.005
-FLOOR_REWARD, TARGET_REWARD, EXCESS_COST = 100.0, 4.0, 4.0
+FLOOR_REWARD, TARGET_REWARD, EXCESS_COST = 100.0, 6.0, 4.0
+#: Cost of a cell's rows beyond the fitted number.
+BEYOND = 3.0
+#: Rounds in which the prices of the dimensions beside the flow are set.
+TURNS = 8
 
 
 def latest(generations: DataFrame) -> DataFrame:
@@ -145,9 +153,8 @@ class Transport:
             end = int((over + last).argmin())
             if not np.isfinite(over[end] + last[end]):
                 break
-            path, r, guard = [], end, 0
-            while guard < 4 * sum(self.shape):
-                guard += 1
+            path, r = [], end
+            while True:
                 le = int(from_left[r])
                 path.append((le, r, True))
                 if from_right[le] < 0:
@@ -173,12 +180,12 @@ class Transport:
         return sent
 
 
-def _pieces(have: np.ndarray, floor: np.ndarray, goal: np.ndarray, top: np.ndarray) -> list[list[list[float]]]:
-    """Arcs of one side beyond what is fixed: up to the minimum, up to the goal, and beyond."""
+def _pieces(floor: np.ndarray, goal: np.ndarray, top: np.ndarray) -> list[list[list[float]]]:
+    """Arcs of one side: up to the minimum, up to the goal, and beyond."""
     out = []
-    for h, f, g, a in zip(have, floor, goal, top):
+    for f, g, a in zip(floor, goal, top):
         f, g = min(f, g), min(g, a)
-        parts = [(max(0, f - h), -FLOOR_REWARD), (max(0, g - max(h, f)), -TARGET_REWARD), (max(0, a - max(h, g)), EXCESS_COST)]
+        parts = [(f, -FLOOR_REWARD), (g - f, -TARGET_REWARD), (a - g, EXCESS_COST)]
         out.append([[int(n), c] for n, c in parts if n > 0])
     return out
 
@@ -187,13 +194,24 @@ def deviation(cells: np.ndarray, quota: np.ndarray, goals: list[np.ndarray]) ->
     return float(sum(np.abs(np.bincount(cells[:, d], quota, len(g)) - g).sum() for d, g in enumerate(goals)))
 
 
-def exchanged(cells: np.ndarray, quota: np.ndarray, available: np.ndarray, goals: list[np.ndarray], size: int, rounds: int = 4000) -> np.ndarray:
-    """Move, add or drop rows between cells while that lowers the summed deviation of all margins."""
+def exchanged(cells: np.ndarray, quota: np.ndarray, available: np.ndarray, goals: list[np.ndarray], size: int, floors: list[np.ndarray] | None = None) -> np.ndarray:
+    """Move, add or drop rows between cells while that lowers the summed deviation of all margins.
+
+    A row below the minimum of its category counts FLOOR_REWARD times. Every step lowers the sum, so it ends.
+    """
     quota = quota.copy()
     got = [np.bincount(cells[:, d], quota, len(g)).astype(np.int64) for d, g in enumerate(goals)]
-    for _ in range(rounds):
-        gain_in = sum(np.where(got[d] < g, 1, -1)[cells[:, d]] for d, g in enumerate(goals)).astype(float)
-        gain_out = sum(np.where(got[d] > g, 1, -1)[cells[:, d]] for d, g in enumerate(goals)).astype(float)
+    floors = [np.minimum(f, g) for f, g in zip(floors, goals)] if floors else [np.zeros(len(g), np.int64) for g in goals]
+
+    def worth(n: np.ndarray, d: int) -> np.ndarray:
+        """What one row more is worth to each category of a dimension."""
+        return np.where(n < floors[d], FLOOR_REWARD, np.where(n < goals[d], 1.0, -1.0))
+
+    while True:
+        more = [worth(n, d) for d, n in enumerate(got)]
+        fewer = [-worth(n - 1, d) for d, n in enumerate(got)]
+        gain_in = sum(w[cells[:, d]] for d, w in enumerate(more))
+        gain_out = sum(w[cells[:, d]] for d, w in enumerate(fewer))
         gain_in[quota >= available] = -np.inf
         gain_out[quota <= 0] = -np.inf
         total = int(quota.sum())
@@ -201,23 +219,26 @@ def exchanged(cells: np.ndarray, quota: np.ndarray, available: np.ndarray, goals
         i = int(gain_in.argmax())
         if total < size and gain_in[i] > best:
             best, move = gain_in[i], (i, None)
-        # the best partners share categories, in which the move changes nothing
-        for k in np.argsort(-gain_in, kind="stable")[:40]:
-            if gain_in[k] == -np.inf:
+        # the best partners share categories, in which the move changes nothing; the first receivers that gain are enough
+        for tried, k in enumerate(np.argsort(-gain_in, kind="stable")):
+            if gain_in[k] == -np.inf or (tried >= 40 and move is not None):
                 break
             same = cells == cells[k]
-            loss = sum(np.where(same[:, d], np.where(got[d][cells[k, d]] < goals[d][cells[k, d]], -1.0, 1.0) + np.where(got[d] > goals[d], -1.0, 1.0)[cells[:, d]], 0.0) for d in range(cells.shape[1]))
-            both = gain_in[k] + gain_out + loss
+            both = gain_in[k] + gain_out - sum(np.where(same[:, d], more[d][cells[k, d]] + fewer[d][cells[k, d]], 0.0) for d in range(cells.shape[1]))
             both[k] = -np.inf
             j = int(both.argmax())
             if both[j] > best:
                 best, move = both[j], (int(k), j)
         if move is None:
-            break
+            return quota
         k, j = move
         changed = [d for d in range(cells.shape[1]) if j is None or cells[k, d] != cells[j, d]]
-        step = [available[k] - quota[k]] + [abs(int(got[d][cells[k, d]] - goals[d][cells[k, d]])) or 1 for d in changed]
-        step += [size - total] if j is None else [quota[j]] + [abs(int(got[d][cells[j, d]] - goals[d][cells[j, d]])) or 1 for d in changed]
+        step = [available[k] - quota[k], size - total if j is None else quota[j]]
+        for d in changed:  # as far as no category passes its minimum or goal
+            into, out = cells[k, d], None if j is None else cells[j, d]
+            step += [x - got[d][into] for x in (floors[d][into], goals[d][into]) if x > got[d][into]]
+            if out is not None:
+                step += [got[d][out] - x for x in (floors[d][out], goals[d][out]) if x < got[d][out]]
         step = max(1, int(min(step)))
         quota[k] += step
         if j is not None:
@@ -226,7 +247,6 @@ def exchanged(cells: np.ndarray, quota: np.ndarray, available: np.ndarray, goals
             got[d][cells[k, d]] += step
             if j is not None:
                 got[d][cells[j, d]] -= step
-    return quota
 
 
 def quotas(cells: np.ndarray, available: np.ndarray, shares: list[np.ndarray], floors: list[np.ndarray], size: int, seed: int = 11) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -242,16 +262,19 @@ def quotas(cells: np.ndarray, available: np.ndarray, shares: list[np.ndarray], f
     left, right, others = order[0], order[1], order[2:]
     rng = np.random.default_rng(seed)
     fraction = np.clip(expected - base, 1e-3, 1.0)
-    chance = -np.log(rng.random(len(cells))) / fraction  # the smaller, the sooner a unit is added to this cell
+    chance = -np.log(rng.random(len(cells))) / fraction  # the smaller, the sooner a row is added to this cell
     chance = chance / (1 + chance)
+    one = np.minimum(available - base, 1)
+    rooms = np.concatenate([base, one, available - base - one])
+    costs = np.concatenate([np.zeros(len(cells)), 1 + chance, np.full(len(cells), BEYOND)])
+    ends = [np.tile(cells[:, d], 3) for d in (left, right)]
     prices = [np.zeros(len(shares[d])) for d in others]
     best = None
-    for turn in range(12):
+    for turn in range(TURNS):
         price = sum(p[cells[:, d]] for p, d in zip(prices, others)) if others else np.zeros(len(cells))
-        flow = Transport(cells[:, left], cells[:, right], available - base, chance + price, len(shares[left]), len(shares[right]))
-        have = [np.bincount(cells[:, d], base, len(shares[d])).astype(np.int64) for d in (left, right)]
-        flow.run(tuple(_pieces(h, floors[d], goals[d], tops[d]) for h, d in zip(have, (left, right))), size - int(base.sum()))
-        quota = base + flow.flow
+        flow = Transport(*ends, rooms, costs + np.tile(price, 3), len(shares[left]), len(shares[right]))
+        flow.run(tuple(_pieces(floors[d], goals[d], tops[d]) for d in (left, right)), size)
+        quota = flow.flow.reshape(3, -1).sum(0)
         off = deviation(cells, quota, goals)
         if best is None or off < best[0]:
             best = (off, quota)
@@ -260,7 +283,7 @@ def quotas(cells: np.ndarray, available: np.ndarray, shares: list[np.ndarray], f
         for p, d in zip(prices, others):
             gap = np.bincount(cells[:, d], quota, len(p)) - goals[d]
             p += 1.5 / (1 + turn) * gap / np.maximum(1, np.abs(gap).max())
-    return exchanged(cells, best[1], available, goals, size), goals
+    return exchanged(cells, best[1], available, goals, size, floors), goals
 
 
 def _targets(rows: list, dimensions: tuple[str, ...]) -> dict[str, dict[str, tuple[float, int]]]:
@@ -307,6 +330,6 @@ def sample(generations: DataFrame, targets: DataFrame, size: int | None = None,
             if c in wanted[dimension]:
                 share, least = wanted[dimension][c]
                 actual = got[i] / size if size else 0.0
-                report.append((dimension, c, share, least, int(have[i]), int(goals[d][i]), int(got[i]), float(actual), bool(abs(actual - share) <= TOLERANCE and size > 0), bool(got[i] >= least)))
-    columns = "dimension string, category string, target_share double, min_rows int, available bigint, wanted_rows bigint, drawn_rows bigint, actual_share double, target_met boolean, minimum_met boolean"
+                report.append((dimension, c, share, least, int(have[i]), int(goals[d][i]), int(got[i]), float(actual), bool(abs(actual - share) <= TOLERANCE and size > 0), bool(got[i] >= least), *[max(0, int(x)) for x in (least - got[i], goals[d][i] - got[i], got[i] - goals[d][i])]))
+    columns = "dimension string, category string, target_share double, min_rows int, available bigint, wanted_rows bigint, drawn_rows bigint, actual_share double, target_met boolean, minimum_met boolean, short_of_minimum bigint, short_of_wanted bigint, beyond_wanted bigint"
     return drawn, spark.createDataFrame(report, columns)

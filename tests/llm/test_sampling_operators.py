@@ -93,3 +93,45 @@ def test_tokens_are_those_of_the_public_tokenizer():
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     texts = ["Hello world's end.", "Zoë  x\n\ny", "a " * 50_000]
     assert M.count_tokens(texts) == [len(x.ids) for x in t.encode_batch(texts, add_special_tokens=False)] and M.count_tokens([None, "", " "]) == [0, 0, 0]
+
+
+def test_quotas_are_as_near_as_any_in_four_dimensions():
+    rng = np.random.default_rng(5)
+    worst = 0
+    for _ in range(12):
+        cells = np.array(list(itertools.product(range(2), repeat=4)))[rng.permutation(16)[:7]]
+        available = rng.integers(0, 4, len(cells))
+        size = int(available.sum()) // 2
+        shares = [np.array(p) / sum(p) for p in rng.integers(1, 9, (4, 2))]
+        none = [np.zeros(2, int)] * 4
+        quota, goals = Q.quotas(cells, available, shares, none, size)
+        best = min(Q.deviation(cells, np.array(x), goals) for x in itertools.product(*[range(a + 1) for a in available]) if sum(x) <= size)
+        worst = max(worst, Q.deviation(cells, quota, goals) - best)
+    assert worst == 0
+
+
+def test_minimums_come_first_in_every_dimension():
+    cells = np.array(list(itertools.product(range(2), repeat=4)))
+    available = np.full(len(cells), 10)
+    available[cells[:, 3] == 1] = 1
+    shares = [np.array([0.9, 0.1])] * 3 + [np.array([1.0, 0.0])]
+    quota, _ = Q.quotas(cells, available, shares, [np.zeros(2, int)] * 3 + [np.array([0, 8])], 40)
+    assert quota.sum() == 40 and quota[cells[:, 3] == 1].sum() == 8
+
+
+def test_mix_with_one_quality_throughout(spark):
+    rows = [(k, "1 2 3 4 5 6 7 8", "big" if k % 3 else "small", 1, 1) for k in range(3000)]
+    t = spark.createDataFrame([("big", 0.6, 1), ("small", 0.4, 1)], "source string, target_weight double, max_repeats int")
+    weighed = M.weighed(spark.createDataFrame(rows, DOCS))
+    assert weighed.select(F.max("quality")).head()[0] < 0.3
+    drawn, planned = M.mix(spark.createDataFrame(rows, DOCS), t, 9000)
+    plan = {r["source"]: r for r in planned.collect()}
+    for s, ids in ((s, {r["doc_id"] for r in drawn.filter(F.col("source") == s).collect()}) for s in ("big", "small")):
+        own = [(r["doc_id"], r["n_tokens"]) for r in weighed.filter(F.col("source") == s).orderBy("key", "doc_id").collect()]
+        upto, want = 0, set()
+        for doc, n in own:
+            upto += n
+            if upto > plan[s]["rest"]:
+                break
+            want.add(doc)
+        assert ids == want and want
