@@ -33,6 +33,15 @@ def vector_pairs(vectors: DataFrame, group: str, order: str, vector: str) -> Dat
     return a.join(b, "doc").filter("i < j").select("doc", "i", "j", F.try_divide(dot, F.col("na") * F.col("nb")).alias("sim"))
 
 
+def neighbours(vectors: DataFrame, group: str, order: str, vector: str, topic: str) -> DataFrame:
+    """doc, i, topic, next_topic, sim: every vector with the one after it in its group."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy(group).orderBy(order)
+    rows = vectors.select(F.col(group).alias("doc"), (F.row_number().over(w) - 1).alias("i"), F.col(topic).alias("topic"), F.lead(topic).over(w).alias("next_topic"), F.col(vector).alias("v"), F.lead(vector).over(w).alias("after"))
+    return rows.filter("after is not null").select("doc", "i", "topic", "next_topic", cosine(F.col("v"), F.col("after")).alias("sim"))
+
+
 def entity_edges(entities: DataFrame) -> DataFrame:
     """Sentence pairs i < j of a document that share an entity, found through the entity, not by all pairs."""
     s = entities.select("doc_id", "sent_idx", "entity").distinct()

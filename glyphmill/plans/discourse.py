@@ -36,7 +36,6 @@ def matches(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 contract("matches", lambda s, d: matches(contracts.tokens(read_table(s, d, "documents")), lexicons.probe(s)), contracts.oracle("sents", "tokens") + (f"probe AS ({lexicons.probe_sql()})", f"matches AS ({_MATCHES})"))
-contract("doc_sizes", lambda s, d: contracts.tokens(read_table(s, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("n")), contracts.oracle("sents", "tokens") + ("doc_sizes AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id)",))
 
 SQL: dict[str, tuple[str, tuple[str, ...]]] = {}
 SQL["lexicon_density"] = ("WITH c AS (SELECT doc_id, " + ", ".join(f"sum(CASE WHEN lookup = '{k}' THEN gated ELSE 0 END) AS {k}" for k in lexicons.LOOKUPS if k != "weasel") + " FROM matches GROUP BY doc_id) SELECT s.doc_id, CAST(s.n AS BIGINT) AS doc_length_tokens, "
@@ -69,7 +68,7 @@ SELECT d.doc_id, round(doc_nll, 5) AS doc_perplexity, round(mean_s, 5) AS mean_s
 _HEDGE = contracts.listed(sorted(m for k, m, _, _ in lexicons.PROBE if k in ("hedges", "epistemic")))
 _BOOST = contracts.listed(sorted(m for k, m, _, _ in lexicons.PROBE if k == "boosters"))
 _META = contracts.listed(sorted(m for k, m, _, _ in lexicons.PROBE if k in ("hedges", "epistemic", "boosters", "transitions", "self_mention")))
-contract("sentence_density", lambda s, d: lm.sentence_density(contracts.tokens(read_table(s, d, "documents")), _HEDGE, _BOOST, _META), contracts.oracle("sents", "tokens") + (f"sentence_density AS ({lm.density_sql(_HEDGE, _BOOST, _META)})",))
+contract("sentence_density", lambda s, d: lm.sentence_density(contracts.sentences(read_table(s, d, "documents")), _HEDGE, _BOOST, _META), contracts.oracle("sents", "tokens") + (f"sentence_density AS ({lm.density_sql(_HEDGE, _BOOST, _META)})",))
 SQL["calibration"] = ("""WITH x AS (SELECT n.doc_id, n.sent_idx, n.nll, d.hedge, d.boost, d.meta FROM sentence_nll AS n JOIN sentence_density AS d ON d.doc_id = n.doc_id AND d.sent_idx = n.sent_idx),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY meta DESC, sent_idx DESC) AS rk, count(*) OVER (PARTITION BY doc_id) AS n FROM x),
 c AS (SELECT doc_id, max(n) AS n, var_pop(nll) AS v, max(hedge) AS mh, max(boost) AS mb, covar_pop(hedge, nll) / NULLIF(stddev_pop(hedge) * stddev_pop(nll), 0) AS ch, covar_pop(boost, nll) / NULLIF(stddev_pop(boost) * stddev_pop(nll), 0) AS cb,

@@ -1,8 +1,9 @@
-"""Temporal-order queries over event, time-expression and relation tables.
+"""Temporal-order queries over event, time-expression and relation tables, which come from the documents' tokens.
 
-The contract tables come from the ``events`` table (a user's events are a document's): a trigger is an
-event type with one of four subtypes, relations link events at most five places apart, and a
-deterministic scorer gives each a direction and a confidence.
+Events are verbs, with the tense of their ending or auxiliary; time expressions are named days, months, parts of the day and
+spans, with the word before and after them; relations link events at most five places apart, and a deterministic
+scorer gives each a direction and a confidence. Places are offsets in the text of tokens with single blanks. Better annotators fill the same tables.
+Every document gets a row: without events, relations or graph its features are the defaults.
 """
 
 from __future__ import annotations
@@ -10,31 +11,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.operators import graphs
-from glyphmill.plans.portable import CONTRACTS, contract, query
-from glyphmill.session import read_table
+from glyphmill.operators import contracts, graphs
+from glyphmill.plans.portable import CONTRACTS, contract, on_spark, query
+from glyphmill.session import materialize, read_table
 
 WINDOW = 5
-_ACTS = """SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_id, event_type AS lemma, concat(event_type, '_', CAST(event_id % 4 AS VARCHAR(10))) AS word,
-  CASE event_id % 3 WHEN 0 THEN 'Past' WHEN 1 THEN 'Pres' ELSE 'Fut' END AS tense, value FROM events"""
-_RELATIONS = f"""SELECT a.doc_id, a.pos * 10 + b.pos - a.pos AS seq, a.word AS e1, b.word AS e2, a.pos AS p1, b.pos AS p2, CASE WHEN (a.event_id + b.event_id) % 3 = 0 THEN 'AFTER' ELSE 'BEFORE' END AS relation,
+# Words that name days, parts of the day, months and spans of time, and words of past and future.
+TIMES = {
+    "DATE": "yesterday today tomorrow monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december spring summer autumn winter sundays",
+    "TIME": "noon midnight morning afternoon evening night dawn dusk tonight lunch supper",
+    "DURATION": "hour hours day days week weeks month months year years",
+}
+PAST = ("yesterday", "ago", "past", "previous", "earlier")
+FUTURE = ("tomorrow", "future", "next", "later", "upcoming")
+DEIXIS = ("now", "today", "currently", "then", "previously", "earlier", "later", "afterwards", "recently", "soon")
+
+_ACTS = """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY tok_idx) - 1 AS pos, tok_idx AS event_id, lower AS word, CASE WHEN lower LIKE '%ing' THEN left(lower, length(lower) - 3) WHEN lower LIKE '%ed' THEN left(lower, length(lower) - 2) WHEN lower LIKE '%s' THEN left(lower, length(lower) - 1) ELSE lower END AS lemma,
+  CASE WHEN before IN ('will', 'would', 'shall') THEN 'Fut' WHEN lower LIKE '%ed' THEN 'Past' ELSE 'Pres' END AS tense, place FROM (
+  SELECT doc_id, tok_idx, lower, pos, lag(lower) OVER (PARTITION BY doc_id ORDER BY tok_idx) AS before, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY tok_idx) - length(text) - 1 AS place FROM tokens) AS t WHERE pos = 'VERB'"""
+_RELATIONS = f"""SELECT a.doc_id, a.pos * 10 + b.pos - a.pos AS seq, a.word AS e1, b.word AS e2, a.place AS p1, b.place AS p2, CASE WHEN (a.event_id + b.event_id) % 3 = 0 THEN 'AFTER' ELSE 'BEFORE' END AS relation,
   0.5e0 + ((a.event_id * 7919 + b.event_id * 104729) % 1000) / 2000.0e0 AS confidence FROM acts AS a JOIN acts AS b ON b.doc_id = a.doc_id AND b.pos > a.pos AND b.pos <= a.pos + {WINDOW}"""
 _EDGES = "SELECT doc_id, src, dst, max(confidence) AS confidence FROM (SELECT doc_id, CASE WHEN relation = 'BEFORE' THEN e1 ELSE e2 END AS src, CASE WHEN relation = 'BEFORE' THEN e2 ELSE e1 END AS dst, confidence FROM relations) AS r GROUP BY doc_id, src, dst"
-_TIMES = "SELECT doc_id, pos, CASE WHEN value > 20 THEN 'DATE' ELSE 'TIME' END AS kind, CASE WHEN value > 20 THEN 1 ELSE -1 END AS direction FROM acts WHERE value > 20 OR value < 3"
+_KIND = "CASE " + " ".join(f"WHEN lower IN ({contracts.listed(w.split())}) THEN '{k}'" for k, w in TIMES.items()) + " END"
+_TIMES = f"""SELECT doc_id, place AS pos, kind, coalesce(before, '') || ' ' || lower || ' ' || coalesce(after, '') AS snippet FROM (
+  SELECT doc_id, lower, {_KIND} AS kind, lag(lower) OVER (PARTITION BY doc_id ORDER BY tok_idx) AS before, lead(lower) OVER (PARTITION BY doc_id ORDER BY tok_idx) AS after, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY tok_idx) - length(text) - 1 AS place FROM tokens) AS t WHERE kind IS NOT NULL"""
+_RAW = contracts.oracle("sents", "tokens")
 
 
-def acts(events: DataFrame) -> DataFrame:
-    """Events as triggers in the order of their document."""
-    return events.sparkSession.sql(_ACTS.replace("FROM events", "FROM {events}").replace("VARCHAR(10)", "STRING"), events=events)
+def acts(tokens: DataFrame) -> DataFrame:
+    """doc_id, pos, event_id (the token), word, lemma, tense, place: the verbs of each document in order."""
+    return tokens.sparkSession.sql(_ACTS.replace("FROM tokens", "FROM {tokens}"), tokens=tokens)
+
+
+def times(tokens: DataFrame) -> DataFrame:
+    """doc_id, pos, kind, snippet: time expressions with the words around them."""
+    return tokens.sparkSession.sql(_TIMES.replace("FROM tokens", "FROM {tokens}"), tokens=tokens)
 
 
 def relations(rows: DataFrame) -> DataFrame:
     """Pairs of events at most WINDOW places apart: an equi-join on exploded places instead of a band join."""
-    ahead = rows.select("doc_id", F.col("event_id").alias("id1"), F.col("word").alias("e1"), F.col("pos").alias("p1"), F.explode(F.sequence(F.lit(1), F.lit(WINDOW))).alias("step")).withColumn("p2", F.col("p1") + F.col("step"))
-    other = rows.select("doc_id", F.col("event_id").alias("id2"), F.col("word").alias("e2"), F.col("pos").alias("p2"))
-    pairs = ahead.join(other, ["doc_id", "p2"])
+    ahead = rows.select("doc_id", F.col("event_id").alias("id1"), F.col("word").alias("e1"), F.col("place").alias("p1"), "pos", F.explode(F.sequence(F.lit(1), F.lit(WINDOW))).alias("step")).withColumn("pos2", F.col("pos") + F.col("step"))
+    other = rows.select("doc_id", F.col("event_id").alias("id2"), F.col("word").alias("e2"), F.col("place").alias("p2"), F.col("pos").alias("pos2"))
+    pairs = ahead.join(other, ["doc_id", "pos2"])
     return pairs.select(
-        "doc_id", (F.col("p1") * 10 + F.col("p2") - F.col("p1")).alias("seq"), "e1", "e2", "p1", "p2",
+        "doc_id", (F.col("pos") * 10 + F.col("step")).alias("seq"), "e1", "e2", "p1", "p2",
         F.when((F.col("id1") + F.col("id2")) % 3 == 0, "AFTER").otherwise("BEFORE").alias("relation"),
         (0.5 + (F.col("id1") * 7919 + F.col("id2") * 104729) % 1000 / 2000.0).alias("confidence"),
     )
@@ -47,47 +67,56 @@ def edges(rows: DataFrame) -> DataFrame:
     return turned.groupBy("doc_id", "src", "dst").agg(F.max("confidence").alias("confidence"))
 
 
-_acts = lambda s, d: acts(read_table(s, d, "events"))
-contract("acts", _acts, (f"acts AS ({_ACTS})",))
-contract("relations", lambda s, d: relations(_acts(s, d)), (f"acts AS ({_ACTS})", f"relations AS ({_RELATIONS})"))
-contract("edges", lambda s, d: edges(relations(_acts(s, d))), (f"acts AS ({_ACTS})", f"relations AS ({_RELATIONS})", f"edges AS ({_EDGES})"))
-contract("times", lambda s, d: s.sql(_TIMES.replace("FROM acts", "FROM {acts}"), acts=_acts(s, d)), (f"acts AS ({_ACTS})", f"times AS ({_TIMES})"))
+_tokens = lambda s, d: contracts.tokens(read_table(s, d, "documents"))
+_acts = lambda s, d: acts(_tokens(s, d))
+contract("acts", _acts, (*_RAW, f"acts AS ({_ACTS})"))
+contract("relations", lambda s, d: relations(_acts(s, d)), (*_RAW, f"acts AS ({_ACTS})", f"relations AS ({_RELATIONS})"))
+contract("edges", lambda s, d: edges(relations(_acts(s, d))), (*_RAW, f"acts AS ({_ACTS})", f"relations AS ({_RELATIONS})", f"edges AS ({_EDGES})"))
+contract("times", lambda s, d: times(_tokens(s, d)), (*_RAW, f"times AS ({_TIMES})"))
 
-_ent = lambda n: f"round(log2(sum({n})) - sum({n} * log2({n})) / sum({n}), 6)"
+_ent = lambda n: f"round(log2(sum({n})) - sum({n} * log2({n})) / sum({n}), 6) + 0.0e0"
+_rate = lambda x, name: f"round(coalesce({x}, 0.0e0), 6) AS {name}"
+_count = lambda w: f"(length(text) - length(replace(text, '{w}', ''))) / {len(w)}"
+_any = lambda x, words: " OR ".join(f"{x} LIKE '%{w}%'" for w in words)
 SQL: dict[str, tuple[str, tuple[str, ...]]] = {}
 SQL["event_structure"] = (f"""WITH a AS (SELECT doc_id, count(*) AS n, count(DISTINCT lemma) AS u FROM acts GROUP BY doc_id), t AS (SELECT doc_id, count(*) AS n FROM times GROUP BY doc_id),
 k AS (SELECT doc_id, tense, CAST(count(*) AS DOUBLE) AS n FROM acts GROUP BY doc_id, tense), h AS (SELECT doc_id, {_ent('n')} AS h FROM k GROUP BY doc_id)
-SELECT a.doc_id, CAST(a.n AS BIGINT) AS temp_num_events, CAST(coalesce(t.n, 0) AS BIGINT) AS temp_num_timex, round(coalesce(t.n, 0) / CAST(a.n AS DOUBLE), 6) AS temp_timex_event_ratio, round(u / CAST(a.n AS DOUBLE), 6) AS temp_event_lexical_diversity, h AS temp_tense_distribution_entropy
-FROM a LEFT JOIN t ON t.doc_id = a.doc_id JOIN h ON h.doc_id = a.doc_id""", ("acts", "times"))
+SELECT d.doc_id, CAST(coalesce(a.n, 0) AS BIGINT) AS temp_num_events, round(coalesce(a.n, 0) / CAST(greatest(1, coalesce(length(d.text) - length(replace(replace(replace(d.text, '.', ''), '!', ''), '?', '')), 0)) AS DOUBLE), 6) AS temp_events_per_sentence,
+  CAST(coalesce(t.n, 0) AS BIGINT) AS temp_num_timex, {_rate('t.n / CAST(a.n AS DOUBLE)', 'temp_timex_event_ratio')}, {_rate('a.u / CAST(a.n AS DOUBLE)', 'temp_event_lexical_diversity')}, coalesce(h, 0.0e0) AS temp_tense_distribution_entropy
+FROM documents AS d LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN h ON h.doc_id = d.doc_id""", ("documents", "acts", "times"))
 SQL["relation_statistics"] = ("""WITH p AS (SELECT doc_id, least(e1, e2) AS x, greatest(e1, e2) AS y, count(*) AS n FROM relations GROUP BY doc_id, least(e1, e2), greatest(e1, e2)), q AS (SELECT doc_id, avg(CASE WHEN n > 1 THEN 1.0e0 ELSE 0.0e0 END) AS par FROM p GROUP BY doc_id),
 r AS (SELECT doc_id, avg(confidence) AS m, var_pop(confidence) AS v, CAST(sum(CASE WHEN relation = 'BEFORE' THEN 1 ELSE 0 END) AS DOUBLE) AS b, CAST(sum(CASE WHEN relation = 'AFTER' THEN 1 ELSE 0 END) AS DOUBLE) AS a, count(*) AS n, var_pop(CAST(abs(p2 - p1) AS DOUBLE)) AS scope FROM relations GROUP BY doc_id)
-SELECT r.doc_id, round(m, 6) AS temp_rel_mean_confidence, round(v, 6) AS temp_rel_confidence_variance, round(CASE WHEN a = 0 THEN 1 ELSE b / NULLIF(a, 0) END, 6) AS temp_rel_before_after_ratio, round(par, 6) AS temp_rel_parallel_edge_rate,
-  round(CASE WHEN a > 0 AND b > 0 THEN -(a / n * log2(a / n) + b / n * log2(b / n)) ELSE 0 END, 6) AS temp_rel_type_entropy, round(CASE WHEN n > 1 THEN scope ELSE 0 END, 6) AS temp_scope_variance FROM r JOIN q ON q.doc_id = r.doc_id""", ("relations",))
+SELECT d.doc_id, round(coalesce(m, 0), 6) AS temp_rel_mean_confidence, round(coalesce(v, 0), 6) AS temp_rel_confidence_variance, round(coalesce(CASE WHEN a = 0 THEN 1 ELSE b / NULLIF(a, 0) END, 0), 6) AS temp_rel_before_after_ratio, round(coalesce(par, 0), 6) AS temp_rel_parallel_edge_rate,
+  round(CASE WHEN a > 0 AND b > 0 THEN -(a / n * log2(a / n) + b / n * log2(b / n)) ELSE 0 END, 6) AS temp_rel_type_entropy, round(CASE WHEN n > 1 THEN scope ELSE 0 END, 6) AS temp_scope_variance FROM documents AS d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN q ON q.doc_id = d.doc_id""", ("documents", "relations"))
 SQL["transitivity"] = ("""WITH u AS (SELECT DISTINCT doc_id, src, dst FROM edges WHERE src <> dst), h AS (SELECT x.doc_id, x.src AS a, x.dst AS b, y.dst AS c FROM u AS x JOIN u AS y ON y.doc_id = x.doc_id AND y.src = x.dst WHERE y.dst <> x.src),
 v AS (SELECT h.doc_id, count(*) AS n FROM h LEFT JOIN u ON u.doc_id = h.doc_id AND u.src = h.a AND u.dst = h.c WHERE u.src IS NULL GROUP BY h.doc_id), r AS (SELECT doc_id, count(*) AS n FROM relations GROUP BY doc_id)
-SELECT r.doc_id, CASE WHEN r.n < 3 THEN 0.0e0 ELSE round(coalesce(v.n, 0) / CAST(r.n AS DOUBLE), 6) END AS temp_rel_transitivity_violation_rate FROM r LEFT JOIN v ON v.doc_id = r.doc_id""", ("edges", "relations"))
-SQL["antisymmetry"] = ("""WITH t AS (SELECT doc_id, seq, CASE WHEN relation = 'BEFORE' THEN e1 ELSE e2 END AS src, CASE WHEN relation = 'BEFORE' THEN e2 ELSE e1 END AS dst FROM relations), f AS (SELECT doc_id, src, dst, min(seq) AS first_seq FROM t GROUP BY doc_id, src, dst)
-SELECT t.doc_id, round(avg(CASE WHEN f.first_seq < t.seq THEN 1.0e0 ELSE 0.0e0 END), 6) AS temp_constraint_violation_rate FROM t LEFT JOIN f ON f.doc_id = t.doc_id AND f.src = t.dst AND f.dst = t.src AND t.src <> t.dst GROUP BY t.doc_id""", ("relations",))
+SELECT d.doc_id, CASE WHEN r.n >= 3 THEN round(coalesce(v.n, 0) / CAST(r.n AS DOUBLE), 6) ELSE 0.0e0 END AS temp_rel_transitivity_violation_rate FROM documents AS d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN v ON v.doc_id = d.doc_id""", ("documents", "edges", "relations"))
+SQL["antisymmetry"] = ("""WITH t AS (SELECT doc_id, seq, CASE WHEN relation = 'BEFORE' THEN e1 ELSE e2 END AS src, CASE WHEN relation = 'BEFORE' THEN e2 ELSE e1 END AS dst FROM relations), f AS (SELECT doc_id, src, dst, min(seq) AS first_seq FROM t GROUP BY doc_id, src, dst),
+v AS (SELECT t.doc_id, avg(CASE WHEN f.first_seq < t.seq THEN 1.0e0 ELSE 0.0e0 END) AS rate FROM t LEFT JOIN f ON f.doc_id = t.doc_id AND f.src = t.dst AND f.dst = t.src AND t.src <> t.dst GROUP BY t.doc_id)
+SELECT d.doc_id, round(coalesce(rate, 0), 6) AS temp_constraint_violation_rate FROM documents AS d LEFT JOIN v ON v.doc_id = d.doc_id""", ("documents", "relations"))
 SQL["csp_score"] = ("""WITH s AS (SELECT doc_id, src FROM edges WHERE src = dst), p AS (SELECT a.doc_id, a.src, a.dst FROM edges AS a JOIN edges AS b ON b.doc_id = a.doc_id AND b.src = a.dst AND b.dst = a.src WHERE a.src <> a.dst),
 c AS (SELECT p.doc_id, count(x.src) + count(y.src) AS n FROM p LEFT JOIN s AS x ON x.doc_id = p.doc_id AND x.src = p.src LEFT JOIN s AS y ON y.doc_id = p.doc_id AND y.src = p.dst GROUP BY p.doc_id),
 t AS (SELECT a.doc_id, count(*) AS n FROM edges AS a JOIN edges AS b ON b.doc_id = a.doc_id AND b.src = a.dst JOIN edges AS c ON c.doc_id = a.doc_id AND c.src = b.dst AND c.dst = a.src WHERE a.src <> a.dst AND b.src <> b.dst AND c.src <> c.dst GROUP BY a.doc_id)
-SELECT d.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS temp_constraint_csp_score, CAST(coalesce(t.n, 0) / 3 AS BIGINT) AS three_cycles FROM (SELECT DISTINCT doc_id FROM edges) AS d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""", ("edges",))
-SQL["graph_degrees"] = (f"""WITH e AS (SELECT doc_id, src, dst FROM edges WHERE src <> dst), g AS (SELECT doc_id, src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT doc_id, dst, 1, 0 FROM e), k AS (SELECT doc_id, node, CAST(sum(i) AS DOUBLE) AS i, CAST(sum(o) AS DOUBLE) AS o FROM g GROUP BY doc_id, node),
-a AS (SELECT doc_id, count(*) AS n, sum(o) AS m, avg(CASE WHEN o > 0 THEN o END) AS branch, max(i + o) AS top FROM k GROUP BY doc_id), f AS (SELECT doc_id, i + o AS deg, CAST(count(*) AS DOUBLE) AS c FROM k GROUP BY doc_id, i + o), h AS (SELECT doc_id, {_ent('c')} AS h FROM f GROUP BY doc_id)
-SELECT a.doc_id, h AS tg_degree_entropy, round(m / n, 6) AS tg_avg_in_degree, round(m / n, 6) AS tg_avg_out_degree, round(log2(n), 6) AS tg_ordering_entropy, round(branch, 6) AS tg_branching_factor, round(m / CAST(n * (n - 1) AS DOUBLE), 6) AS tg_density,
-  round((n * top - 2 * m) / (n - 1) / CASE WHEN n > 2 THEN CAST((n - 1) * (n - 2) AS DOUBLE) ELSE 1 END, 6) AS tg_centralization FROM a JOIN h ON h.doc_id = a.doc_id WHERE n > 1""", ("edges",))
-SQL["graph_clustering"] = ("""WITH u AS (SELECT DISTINCT doc_id, src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT DISTINCT doc_id, dst, src FROM edges WHERE src <> dst), d AS (SELECT doc_id, a, count(*) AS deg FROM u GROUP BY doc_id, a),
-t AS (SELECT x.doc_id, x.a, count(*) AS tri FROM u AS x JOIN u AS y ON y.doc_id = x.doc_id AND y.a = x.b JOIN u AS z ON z.doc_id = x.doc_id AND z.a = y.b AND z.b = x.a GROUP BY x.doc_id, x.a)
-SELECT d.doc_id, round(avg(CASE WHEN deg > 1 THEN coalesce(tri, 0) / CAST(deg * (deg - 1) AS DOUBLE) ELSE 0 END), 6) AS tg_clustering_coefficient FROM d LEFT JOIN t ON t.doc_id = d.doc_id AND t.a = d.a GROUP BY d.doc_id""", ("edges",))
-SQL["time_shifts"] = ("""WITH t AS (SELECT doc_id, direction, lag(direction) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM times) SELECT doc_id, CAST(sum(CASE WHEN direction <> before THEN 1 ELSE 0 END) AS BIGINT) AS temp_ref_time_shifts FROM t GROUP BY doc_id""", ("times",))
-
-# Words of deixis and of past time.
-DEIXIS = ("now", "then", "today", "yesterday", "tomorrow", "here", "there", "this", "that", "ago")
-PAST = ("ago", "yesterday", "last")
-_count = lambda w: f"(length(lower(text)) - length(replace(lower(text), '{w}', ''))) / {len(w)}"
-SQL["deixis_and_tense"] = (f"""WITH x AS (SELECT doc_id, {' + '.join(_count(w) for w in DEIXIS)} AS deixis, {' + '.join(_count(w) for w in PAST)} AS past_words, length(text) - length(replace(replace(replace(text, '.', ''), '!', ''), '?', '')) AS stops FROM documents WHERE text IS NOT NULL),
-v AS (SELECT doc_id, CAST(sum(CASE WHEN pos = 'VERB' AND lower LIKE '%ed' THEN 1 ELSE 0 END) AS DOUBLE) / NULLIF(sum(CASE WHEN pos = 'VERB' THEN 1 ELSE 0 END), 0) AS past_tense FROM tokens GROUP BY doc_id)
-SELECT x.doc_id, CAST(deixis AS BIGINT) AS temp_deixis_consistency, round(1 - abs(coalesce(past_tense, 0.5) - CASE WHEN past_words > 0 THEN 1.0e0 ELSE 0.5e0 END), 6) AS temp_tense_time_alignment, round(CAST(deixis AS DOUBLE) / greatest(1, stops), 6) AS deixis_per_sentence FROM x LEFT JOIN v ON v.doc_id = x.doc_id""", ("documents", "tokens"))
+SELECT d.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS temp_constraint_csp_score, CAST(coalesce(t.n, 0) / 3 AS BIGINT) AS three_cycles FROM documents AS d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""", ("documents", "edges"))
+SQL["deixis_and_tense"] = ("""WITH e AS (SELECT doc_id, sum(CASE WHEN tense = 'Past' THEN 1.0e0 ELSE 0.0e0 END) AS past, CAST(count(*) AS DOUBLE) AS n FROM acts WHERE tense IN ('Past', 'Fut', 'Pres') GROUP BY doc_id),
+x AS (SELECT doc_id, text, """ + ", ".join(f"{' + '.join(_count(w) for w in words)} AS {name}" for name, words in (("deixis", DEIXIS), ("past_words", PAST), ("future_words", FUTURE))) + f""" FROM (SELECT doc_id, lower(coalesce(text, '')) AS text FROM documents) AS l),
+g AS (SELECT doc_id, pos, CASE WHEN {_any('snippet', PAST)} THEN 'past' WHEN {_any('snippet', FUTURE)} THEN 'future' ELSE 'present' END AS direction FROM times),
+s AS (SELECT doc_id, sum(CASE WHEN direction <> before THEN 1 ELSE 0 END) AS n FROM (SELECT doc_id, direction, lag(direction) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM g) AS y GROUP BY doc_id)
+SELECT x.doc_id, round(1 - abs(coalesce(e.past / NULLIF(e.n, 0), 0.5) - coalesce(CAST(past_words AS DOUBLE) / NULLIF(past_words + future_words, 0), 0.5)), 6) AS temp_tense_time_alignment, CAST(deixis AS BIGINT) AS temp_deixis_consistency, CAST(coalesce(s.n, 0) AS BIGINT) AS temp_ref_time_shifts
+FROM x LEFT JOIN e ON e.doc_id = x.doc_id LEFT JOIN s ON s.doc_id = x.doc_id""", ("documents", "acts", "times"))
+
+# Over ``dag``, the kept edges, and ``nodes`` of the raw graph; their acyclic graph comes from an iterative operator, so the oracle has no twin.
+DAG_SQL = {
+    "graph_degrees": f"""WITH g AS (SELECT doc_id, node, 0 AS i, 0 AS o FROM nodes UNION ALL SELECT doc_id, src, 0, 1 FROM dag UNION ALL SELECT doc_id, dst, 1, 0 FROM dag), k AS (SELECT doc_id, node, CAST(sum(i) AS DOUBLE) AS i, CAST(sum(o) AS DOUBLE) AS o FROM g GROUP BY doc_id, node),
+a AS (SELECT doc_id, count(*) AS n, sum(o) AS m, avg(CASE WHEN o > 0 THEN o END) AS branch, max(i + o) AS top FROM k GROUP BY doc_id), f AS (SELECT doc_id, deg, CAST(count(*) AS DOUBLE) AS c FROM (SELECT doc_id, i AS deg FROM k UNION ALL SELECT doc_id, o FROM k) AS u GROUP BY doc_id, deg), h AS (SELECT doc_id, {_ent('c')} AS h FROM f GROUP BY doc_id)
+SELECT d.doc_id, {_rate('h', 'tg_degree_entropy')}, {_rate('m / n', 'tg_avg_in_degree')}, {_rate('m / n', 'tg_avg_out_degree')}, {_rate('log2(n)', 'tg_ordering_entropy')}, {_rate('branch', 'tg_branching_factor')},
+  {_rate('CASE WHEN n > 1 THEN (n * top - 2 * m) / (n - 1) / CASE WHEN n > 2 THEN CAST((n - 1) * (n - 2) AS DOUBLE) ELSE 1 END END', 'tg_centralization')}, {_rate('m / NULLIF(CAST(n * (n - 1) AS DOUBLE), 0)', 'tg_density')}
+FROM documents AS d LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN h ON h.doc_id = d.doc_id""",
+    "graph_clustering": """WITH u AS (SELECT doc_id, src AS a, dst AS b FROM dag UNION SELECT doc_id, dst, src FROM dag), g AS (SELECT doc_id, a, count(*) AS deg FROM u GROUP BY doc_id, a), n AS (SELECT doc_id, count(*) AS n FROM nodes GROUP BY doc_id),
+t AS (SELECT x.doc_id, x.a, count(*) AS tri FROM u AS x JOIN u AS y ON y.doc_id = x.doc_id AND y.a = x.b JOIN u AS z ON z.doc_id = x.doc_id AND z.a = y.b AND z.b = x.a GROUP BY x.doc_id, x.a),
+c AS (SELECT g.doc_id, sum(CASE WHEN deg > 1 THEN coalesce(tri, 0) / CAST(deg * (deg - 1) AS DOUBLE) ELSE 0 END) AS total FROM g LEFT JOIN t ON t.doc_id = g.doc_id AND t.a = g.a GROUP BY g.doc_id)
+SELECT d.doc_id, round(coalesce(total / n, 0), 6) AS tg_clustering_coefficient FROM documents AS d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+}
 
 # Markers around the first occurrence of two words, and the text within 200 characters of both; the unmarked text if one is missing.
 SQL["event_markers"] = ("""WITH x AS (SELECT doc_id, text, strpos(text, ' was ') + 1 AS a, strpos(text, ' the ') + 1 AS b FROM documents WHERE text IS NOT NULL),
@@ -108,21 +137,90 @@ def event_pairs_window(spark: SparkSession, d: str) -> DataFrame:
     return CONTRACTS["relations"][0](spark, d).select("doc_id", "e1", "e2", "relation", F.col("p1").cast("bigint").alias("p1"), F.col("p2").cast("bigint").alias("p2"), F.round("confidence", 6).alias("confidence"))
 
 
+def event_rows(spark: SparkSession, d: str) -> DataFrame:
+    return CONTRACTS["acts"][0](spark, d).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "word", "lemma", "tense", F.col("place").cast("bigint").alias("place"))
+
+
+def time_rows(spark: SparkSession, d: str) -> DataFrame:
+    return CONTRACTS["times"][0](spark, d).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "kind", "snippet")
+
+
 def greedy_dag(spark: SparkSession, d: str) -> DataFrame:
     return graphs.greedy_dag(CONTRACTS["edges"][0](spark, d))
 
 
+def graph_features(documents: DataFrame, raw: DataFrame, relations: DataFrame) -> dict[str, DataFrame]:
+    """The features of each document's acyclic graph, whose nodes are those of the raw graph, and the share of relations that it keeps as edges."""
+    spark = documents.sparkSession
+    ranked = materialize(graphs.greedy_dag(raw))
+    dag = ranked.filter("kept")
+    nodes = ranked.select("doc_id", F.col("src").alias("node")).unionByName(ranked.select("doc_id", F.col("dst").alias("node"))).distinct()
+    out = {name: on_spark(sql, {"documents": documents, "dag": dag, "nodes": nodes}, spark) for name, sql in DAG_SQL.items()}
+    candidates = relations.filter("e1 <> e2").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = dag.groupBy("doc_id").agg(F.count("*").alias("m")).join(candidates, "doc_id").select("doc_id", (F.col("m") / F.col("n")).alias("tg_edge_retention"))
+    shapes = graphs.shapes(dag).select("doc_id", F.col("longest_path").alias("tg_longest_path"), F.col("mean_depth").alias("tg_mean_depth"), F.col("global_coherence").alias("tg_global_coherence"))
+    shape = documents.select("doc_id").join(kept, "doc_id", "left").join(shapes, "doc_id", "left")
+    out["dag_shape"] = shape.select("doc_id", *[F.round(F.coalesce(F.col(c), F.lit(0)), 6).alias(c) for c in ("tg_edge_retention", "tg_longest_path", "tg_mean_depth", "tg_global_coherence")])
+    return out
+
+
+def cycle_features(documents: DataFrame, raw: DataFrame, relations: DataFrame) -> DataFrame:
+    """Cycles of each document's raw graph, the edges on them against its relations, and whether only short ones were tried."""
+    found = graphs.cycles(raw)
+    n = relations.groupBy("doc_id").agg(F.count("*").alias("n"))
+    joined = documents.select("doc_id").join(found, "doc_id", "left").join(n, "doc_id", "left")
+    return joined.select(
+        "doc_id", F.coalesce("cycle_count", F.lit(0)).alias("temp_rel_raw_cycle_count"),
+        F.round(F.coalesce(F.col("cycle_edges") / F.col("n"), F.lit(0.0)), 6).alias("temp_rel_cycle_edge_ratio"), F.coalesce("approx", F.lit(0)).alias("temp_rel_cycle_approx_flag"),
+    )
+
+
+def features(documents: DataFrame, acts: DataFrame, times: DataFrame, relations: DataFrame) -> DataFrame:
+    """All 33 temporal features, one row for each document."""
+    spark = documents.sparkSession
+    raw = edges(relations)
+    tables = {"documents": documents, "acts": acts, "times": times, "relations": relations, "edges": raw}
+    parts = [on_spark(SQL[name][0], {t: tables[t] for t in SQL[name][1]}, spark) for name in FAMILY]
+    parts += [cycle_features(documents, raw, relations), *graph_features(documents, raw, relations).values()]
+    out = documents.select("doc_id")
+    for part in parts:
+        out = out.join(part.drop("three_cycles"), "doc_id")
+    return out
+
+
+FAMILY = ("event_structure", "relation_statistics", "transitivity", "antisymmetry", "csp_score", "deixis_and_tense")
+
+
+def _made(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
+    return [CONTRACTS[n][0](spark, d) if n in CONTRACTS else read_table(spark, d, n) for n in names]
+
+
+def graph_degrees(spark: SparkSession, d: str) -> DataFrame:
+    return graph_features(*_made(spark, d, "documents", "edges", "relations"))["graph_degrees"]
+
+
+def graph_clustering(spark: SparkSession, d: str) -> DataFrame:
+    return graph_features(*_made(spark, d, "documents", "edges", "relations"))["graph_clustering"]
+
+
 def dag_shape(spark: SparkSession, d: str) -> DataFrame:
     """Longest path, depth and coherence of each document's acyclic graph, and the share of edges it keeps."""
-    dag = greedy_dag(spark, d)
-    kept = dag.groupBy("doc_id").agg(F.round(F.avg(F.col("kept").cast("int")), 6).alias("tg_edge_retention"))
-    return graphs.shapes(dag.filter("kept")).join(kept, "doc_id")
+    return graph_features(*_made(spark, d, "documents", "edges", "relations"))["dag_shape"]
 
 
 def cycles(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.cycles(CONTRACTS["edges"][0](spark, d))
+    return cycle_features(*_made(spark, d, "documents", "edges", "relations"))
+
+
+def temporal_features(spark: SparkSession, d: str) -> DataFrame:
+    tokens = materialize(_tokens(spark, d))
+    verbs = materialize(acts(tokens))
+    return features(read_table(spark, d, "documents").select("doc_id", "text"), verbs, times(tokens), materialize(relations(verbs)))
 
 
-QUERIES |= {f.__name__: f for f in (raw_graph, event_pairs_window, greedy_dag, dag_shape, cycles)}
-ORACLE["raw_graph"] = f"WITH acts AS ({_ACTS}), relations AS ({_RELATIONS}), edges AS ({_EDGES}) SELECT doc_id, src, dst, round(confidence, 6) AS confidence FROM edges"
-ORACLE["event_pairs_window"] = f"WITH acts AS ({_ACTS}), relations AS ({_RELATIONS}) SELECT doc_id, e1, e2, relation, p1, p2, round(confidence, 6) AS confidence FROM relations"
+QUERIES |= {f.__name__: f for f in (raw_graph, event_pairs_window, event_rows, time_rows, greedy_dag, dag_shape, cycles, graph_degrees, graph_clustering, temporal_features)}
+_WITH = "WITH " + ", ".join((*_RAW, f"acts AS ({_ACTS})", f"relations AS ({_RELATIONS})", f"edges AS ({_EDGES})", f"times AS ({_TIMES})"))
+ORACLE["raw_graph"] = _WITH + " SELECT doc_id, src, dst, round(confidence, 6) AS confidence FROM edges"
+ORACLE["event_pairs_window"] = _WITH + " SELECT doc_id, e1, e2, relation, CAST(p1 AS BIGINT) AS p1, CAST(p2 AS BIGINT) AS p2, round(confidence, 6) AS confidence FROM relations"
+ORACLE["event_rows"] = _WITH + " SELECT doc_id, pos, word, lemma, tense, CAST(place AS BIGINT) AS place FROM acts"
+ORACLE["time_rows"] = _WITH + " SELECT doc_id, CAST(pos AS BIGINT) AS pos, kind, snippet FROM times"
