@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from glyphmill.operators.ranking import running_sums
+from glyphmill.operators.ranking import quantiles, running_sums
 
 #: Left-closed length bins; values outside have none.
 LENGTH_BINS = (0, 100, 250, 500, 10000)
@@ -79,19 +79,22 @@ def verify(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def caps(df: DataFrame, features: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """One row with the exact percentiles of the finite values of each feature, within the name's interval.
-
-    At the size of a cluster's tables ``approx`` percentiles of the same shape may replace them.
-    """
-    cells = []
+    """One row with the exact percentiles of the finite values of each feature, within the name's interval."""
+    cells, found = [], quantiles(long_values(df, features), ["feature"], "value", [low, high])
     for f in features:
-        p = F.percentile(finite(f), F.array(F.lit(low), F.lit(high)))
+        p = F.max(F.when(F.col("feature") == f, F.col("q")))
         lo, hi = bounds(f)
         a, b = p[0], p[1]
         a = F.greatest(a, F.lit(lo)) if lo is not None else a
         b = F.least(b, F.lit(hi)) if hi is not None else b
         cells.append(F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).alias(f))
-    return df.agg(*cells)
+    return found.agg(*cells)
+
+
+def long_values(df: DataFrame, features: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, feature, value of all finite values."""
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), finite(f).alias("value")) for f in features])
+    return df.select(*keys, F.inline(cells)).filter("value is not null")
 
 
 def apply_caps(df: DataFrame, limits: DataFrame, features: list[str]) -> DataFrame:
@@ -134,13 +137,15 @@ def impute_median(df: DataFrame, features: list[str], groups: list[Column] | Non
         shares = clean.agg(*[F.avg(F.col(f).isNull().cast("int")).alias(f) for f in features]).first()
         dropped = [f for f in features if (shares[f] or 0.0) > most_missing]
         clean, features = clean.drop(*dropped), [f for f in features if f not in dropped]
-    whole = clean.agg(*[F.median(f).alias(f"__all_{f}") for f in features])
+    of = lambda f: F.max(F.when(F.col("feature") == f, F.col("q")[0]))
+    whole = quantiles(long_values(clean, features), ["feature"], "value", [0.5]).agg(*[of(f).alias(f"__all_{f}") for f in features])
     out = clean.crossJoin(F.broadcast(whole))
     fills = {f: [F.col(f), F.col(f"__all_{f}"), F.lit(0.0)] for f in features}
     if groups:
         keys = {f"__g{i}": g for i, g in enumerate(groups)}
         keyed = out.withColumns(keys)
-        by = keyed.groupBy(*keys).agg(*[F.median(f).alias(f"__by_{f}") for f in features]).withColumnsRenamed({k: f"{k}r" for k in keys})
+        medians = quantiles(long_values(keyed, features, tuple(keys)), [*keys, "feature"], "value", [0.5])
+        by = medians.groupBy(*keys).agg(*[of(f).alias(f"__by_{f}") for f in features]).withColumnsRenamed({k: f"{k}r" for k in keys})
         same = None
         for k in keys:
             c = F.col(k).eqNullSafe(F.col(f"{k}r"))
@@ -234,3 +239,43 @@ def clean(df: DataFrame, features: list[str], drops: list[str] = (), threshold:
     df = apply_caps(df, caps(df, features), features)
     done.features = features
     return impute_median(df, features, [group] if group is not None else None), done
+
+
+def drop_duplicate_columns(df: DataFrame) -> DataFrame:
+    """``df`` with the first of the columns that share a name (in any case)."""
+    names = [f"__c{i}" for i in range(len(df.columns))]
+    first = {c.lower(): i for i, c in reversed(list(enumerate(df.columns)))}
+    renamed = df.toDF(*names)
+    return renamed.select(*[F.col(names[i]).alias(df.columns[i]) for i in sorted(first.values())])
+
+
+def fill_plain(df: DataFrame, features: list[str], how: str = "median") -> DataFrame:
+    """Missing and infinite values as the table's median (0 if it has none), its mean, or 0."""
+    if how == "median":
+        return impute_median(df, features)
+    clean = df.withColumns({f: finite(f) for f in features})
+    if how == "zero":
+        return clean.fillna(0.0, features)
+    means = clean.agg(*[F.avg(f).alias(f"__{f}") for f in features])
+    return clean.crossJoin(F.broadcast(means)).withColumns({f: F.coalesce(f, f"__{f}", F.lit(0.0)) for f in features}).select(*df.columns)
+
+
+def quick_clean(df: DataFrame, exclude: tuple[str, ...] = ("row_id", "id", "is_ai")) -> tuple[DataFrame, Cleaning]:
+    """The cleaning run over all numeric columns with its standard settings."""
+    return clean(df, numeric_features(df, exclude))
+
+
+def most_common(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """groups, the commonest value (the least among equals) and how often it occurs; pre-aggregated, so no group is collected."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n"))
+    return counts.groupBy(*groups).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(value).alias("v"))).alias("x")).select(*groups, F.col("x.v").alias("most_common"), (-F.col("x.m")).alias("n"))
+
+
+def validation(df: DataFrame, features: list[str], approx: str | None = None) -> DataFrame:
+    """feature, nulls and NaNs, infinite values, whether it never varies, and the share of rows marked as approximate."""
+    rate = F.avg(F.col(approx).cast("double")) if approx else F.lit(None).cast("double")
+    cells = [
+        F.struct(F.lit(f).alias("feature"), F.count_if(F.col(f).isNull() | F.isnan(F.col(f).cast("double"))).alias("n_missing"), F.count_if(F.abs(F.col(f)) == float("inf")).alias("n_infinite"), (F.coalesce(F.max(finite(f)) == F.min(finite(f)), F.lit(True))).alias("constant"), rate.alias("approx_rate"))
+        for f in features
+    ]
+    return df.agg(F.array(*cells).alias("x")).select(F.inline("x"))

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import LongType, StructField, StructType
+
+from glyphmill.functions import text as T
+from glyphmill.operators.ranking import class_ranks, quantiles
 
 BINS = 4096
 
@@ -65,7 +72,7 @@ def length_bins(df: DataFrame, length: str, weights: dict[str, float]) -> DataFr
         points.append(at)
     if not points:
         return df.withColumn("length_bin", F.lit(order[0]))
-    limits = df.agg(F.percentile(length, F.array(*map(F.lit, points))).alias("__limits"))
+    limits = quantiles(df, [], length, points).withColumnRenamed("q", "__limits")
     out = F.lit(order[-1])
     for i in reversed(range(len(points))):
         out = F.when(F.col(length) <= F.col("__limits")[i], order[i]).otherwise(out)
@@ -107,12 +114,122 @@ def balance(df: DataFrame, dimensions: list[str], targets: dict[tuple[str, str],
 
 def train_test(df: DataFrame, label: str, key: str, test: float = 0.2, seed: str = "split") -> DataFrame:
     """``df`` with ``part`` train or test, the same share of each class, by md5 order."""
-    rank = F.row_number().over(W.partitionBy(label).orderBy(order_key(F.col(key), seed=seed), key))
-    size = F.count("*").over(W.partitionBy(label))
-    return df.withColumn("part", F.when(rank <= F.floor(size * test), "test").otherwise("train"))
+    ranked = class_ranks(df, label, [order_key(F.col(key), seed=seed), key], "__k", "__m")
+    return ranked.withColumn("part", F.when(F.col("__k") < F.floor(F.col("__m") * test), "test").otherwise("train")).drop("__k", "__m")
 
 
 def folds(df: DataFrame, label: str, key: str, k: int = 5, seed: str = "fold") -> DataFrame:
     """``df`` with ``fold``: consecutive md5 ranks of each class go round the folds."""
-    rank = F.row_number().over(W.partitionBy(label).orderBy(order_key(F.col(key), seed=seed), key))
-    return df.withColumn("fold", ((rank - 1) % k).cast("int"))
+    ranked = class_ranks(df, label, [order_key(F.col(key), seed=seed), key], "__k", "__m")
+    return ranked.withColumn("fold", (F.col("__k") % k).cast("int")).drop("__k", "__m")
+
+
+def presample(df: DataFrame, n: int, key: str, seed: str = "presample") -> DataFrame:
+    """``n`` rows in md5 order (all, if there are fewer), found by a histogram of the order."""
+    one = df.sparkSession.createDataFrame([(1, n)], "__g int, quota bigint")
+    drawn = df.withColumn("__g", F.lit(1)).withColumns(_md5(key, seed))
+    return take_by_quota(drawn, one, ["__g"], "__u", "__md5").select(*df.columns)
+
+
+def _md5(key: str, seed: str) -> dict[str, Column]:
+    h = order_key(F.col(key), seed=seed)
+    return {"__md5": h, "__u": F.conv(F.substr(h, F.lit(1), F.lit(12)), 16, 10).cast("double") / F.lit(float(1 << 48))}
+
+
+@dataclass(frozen=True)
+class Dimension:
+    """A column to stratify by: in given shares (those of values that are there, scaled up), evenly, or as the data are.
+
+    ``only`` limits it to strata in which the first dimension has this value.
+    """
+
+    column: str
+    weights: dict | None = None
+    even: bool = False
+    only: object = None
+
+
+def remainder(total: int, weights: dict) -> dict:
+    """Largest-remainder allocation on the driver; ties go to the earlier key."""
+    whole = sum(weights.values())
+    share = {k: total * w / whole if whole else total / len(weights) for k, w in weights.items()}
+    out = {k: math.floor(round(x, 9)) for k, x in share.items()}
+    for k in sorted(share, key=lambda k: -round(share[k] - out[k], 9))[: total - sum(out.values())]:
+        out[k] += 1
+    return out
+
+
+def nested_quotas(counts: dict[tuple, int], total: int, dimensions: list[Dimension], at: int = 0) -> dict[tuple, int]:
+    """Rows of each stratum: every dimension shares out what the one before it was given, at most what is there."""
+    if not counts or total <= 0:
+        return {}
+    if at == len(dimensions):
+        (cell, n), = counts.items()
+        return {cell: min(total, n)}
+    d = dimensions[at]
+    values: dict = {}
+    for cell, n in counts.items():
+        values[cell[at]] = values.get(cell[at], 0) + n
+    values = dict(sorted(values.items(), key=lambda x: str(x[0])))
+    wanted = {v: w for v, w in (d.weights or {}).items() if v in values}
+    if d.only is not None and at and next(iter(counts))[0] != d.only:
+        wanted, d = {}, Dimension(d.column)
+    if wanted:
+        shares = remainder(total, wanted)
+    elif d.even and d.weights is None:
+        shares = remainder(total, dict.fromkeys(values, 1.0))
+    else:
+        shares = values if total >= sum(values.values()) else remainder(total, values)
+    out: dict[tuple, int] = {}
+    for v, n in shares.items():
+        out |= nested_quotas({c: k for c, k in counts.items() if c[at] == v}, n, dimensions, at + 1)
+    return out
+
+
+def stratified_by(df: DataFrame, total: int, dimensions: list[Dimension], key: str, seed: str = "s") -> DataFrame:
+    """About ``total`` rows in nested strata; dimensions that the table lacks are skipped, rows with a null in one are left out.
+
+    Only the counts of the strata come to the driver, as many as combinations of the dimensions' categories.
+    """
+    dimensions = [d for d in dimensions if d.column in df.columns]
+    names = [d.column for d in dimensions]
+    if not names:
+        return presample(df, total, key, seed)
+    kept = df.dropna(subset=names)
+    counts = {tuple(r[n] for n in names): r["n"] for r in kept.groupBy(*names).agg(F.count("*").alias("n")).collect()}
+    quotas = [(*c, n) for c, n in nested_quotas(counts, total, dimensions).items()]
+    table = df.sparkSession.createDataFrame(quotas, StructType([*[kept.schema[n] for n in names], StructField("quota", LongType())]))
+    return take_by_quota(kept.withColumns(_md5(key, seed)), table, names, "__u", "__md5").select(*df.columns)
+
+
+def many_samples(df: DataFrame, total: int, dimensions: list[Dimension], key: str, samples: int, seed: int = 42) -> DataFrame:
+    """Several independent samples, numbered in ``sample``; sample i has the seed ``seed + i + 1``."""
+    out = None
+    for i in range(samples):
+        one = stratified_by(df, total, dimensions, key, str(seed + i + 1)).withColumn("sample", F.lit(i))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def dedupe(df: DataFrame, key: str | None, text: str, order: str) -> DataFrame:
+    """The first row (by ``order``) of each id, or of each text if the table has no id column."""
+    by = key if key is not None and key in df.columns else text
+    rest = [c for c in ([order] if order in df.columns else []) + [c for c in df.columns if c != order] if c != by]
+    first = df.groupBy(by).agg(F.min(F.struct(*rest)).alias("__x"))
+    return first.select(by, "__x.*").select(*df.columns)
+
+
+def prepared_corpus(df: DataFrame, text: str, key: str, label: Column, exclude: dict[str, tuple] | None = None, most: int | None = None, gate: bool = True) -> DataFrame:
+    """Label, excluded values, presample, blanks, first rows, normal form and quality gate, in this order, as one plan."""
+    out = df.withColumn("label", label)
+    for column, values in (exclude or {}).items():
+        out = out.filter(~F.coalesce(F.col(column).isin(*values), F.lit(False)))
+    if most is not None:
+        out = presample(out, most, key)
+    out = out.filter(F.length(F.trim(text)) > 0)
+    out = dedupe(out, key, text, text)
+    out = out.withColumn(text, T.normalize(text)).filter(F.length(F.trim(text)) > 0)
+    if not gate:
+        return out
+    passed = T.diagnostics(out, text, key).filter(T.gate_reasons() == "").select(key)
+    return out.join(passed, key, "left_semi")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from glyphmill.operators.quality import finite
-from glyphmill.operators.ranking import running_sums
+from glyphmill.operators.ranking import quantiles, running_sums
 
 
 def long_format(df: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -19,10 +19,13 @@ def long_format(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 
 def class_moments(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """feature, then n, mean, sample variance and median of both classes, in one aggregation."""
+    """feature, then n, mean, sample variance and exact median of both classes."""
     v, ai = F.col("value"), F.col("label") == 1
-    per = [x for k, c in (("1", ai), ("0", ~ai)) for x in (F.count_if(c).alias(f"n{k}"), F.avg(F.when(c, v)).alias(f"mean{k}"), F.var_samp(F.when(c, v)).alias(f"var{k}"), F.median(F.when(c, v)).alias(f"median{k}"))]
-    return long_format(df, features, label).groupBy("feature").agg(*per)
+    per = [x for k, c in (("1", ai), ("0", ~ai)) for x in (F.count_if(c).alias(f"n{k}"), F.avg(F.when(c, v)).alias(f"mean{k}"), F.var_samp(F.when(c, v)).alias(f"var{k}"))]
+    long = long_format(df, features, label)
+    medians = quantiles(long.withColumn("class", (F.col("label") == 1).cast("int")), ["feature", "class"], "value", [0.5]).groupBy("feature")
+    medians = medians.agg(*[F.max(F.when(F.col("class") == k, F.col("q")[0])).alias(f"median{k}") for k in (0, 1)])
+    return long.groupBy("feature").agg(*per).join(medians, "feature")
 
 
 def descriptives(df: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -140,3 +143,11 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     counts = df.filter(F.col(label).isNotNull()).groupBy(F.col(label).cast("int").alias("label")).agg(F.count("*").alias("n"))
     every = W.partitionBy(F.lit(1))
     return counts.select("label", "n", F.round(F.sum("n").over(every) / (F.count("*").over(every) * F.col("n")), 6).alias("weight"))
+
+
+def summary_by_family(tests: DataFrame, families: dict[str, list[str]]) -> DataFrame:
+    """family, features significant after Bonferroni, mean absolute d of ``tests(feature, cohens_d, bonferroni)``."""
+    family = F.lit("other")
+    for name, features in families.items():
+        family = F.when(F.col("feature").isin(*features), name).otherwise(family)
+    return tests.groupBy(family.alias("family")).agg(F.count_if("bonferroni").alias("n_significant"), F.round(F.avg(F.abs("cohens_d")), 4).alias("mean_abs_d"))

@@ -266,6 +266,62 @@ def class_weights(s, d):
     return stats.class_weights(_docs(s, d), "is_ai")
 
 
+@q("WITH m AS (SELECT id, 1 AS one FROM generations WHERE id IS NOT NULL GROUP BY id), r AS (SELECT id, row_number() OVER (ORDER BY md5(concat_ws('|', id, 'presample'))) AS k FROM m) SELECT id FROM r WHERE k <= 500")
+def presample_rows(s, d):
+    return sampling.presample(read_table(s, d, "generations").filter("id is not null").select("id").distinct(), 500, "id")
+
+
+#: The strata of the samples: classes in given shares, their sources evenly, and inside as the domains are.
+STRATA = [sampling.Dimension("is_ai", {0: 0.6, 1: 0.4}), sampling.Dimension("source", even=True), sampling.Dimension("domain")]
+
+
+@q()
+def stratified_by_weights(s, d):
+    return sampling.stratified_by(_docs(s, d).select("doc_id", "is_ai", "source", "domain"), 300, STRATA, "doc_id")
+
+
+@q()
+def many_samples(s, d):
+    return sampling.many_samples(_docs(s, d).select("doc_id", "is_ai", "source", "domain"), 100, STRATA, "doc_id", 3)
+
+
+@q()
+def prepared_corpus(s, d):
+    """Labelled, filtered, deduplicated, normalized and gated generations."""
+    label = F.when(F.col("model").isNotNull(), (F.lower(F.trim("model")) != "human").cast("int"))
+    return sampling.prepared_corpus(read_table(s, d, "generations").filter("id is not null").select("id", "generation", "model", "domain"), "generation", "id", label, {"domain": ("speech",)})
+
+
+@q("SELECT source, domain AS most_common, n FROM (SELECT source, domain, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, domain) AS k FROM documents WHERE domain IS NOT NULL GROUP BY source, domain) AS x WHERE k = 1")
+def most_common_domain(s, d):
+    return quality.most_common(_docs(s, d), ["source"], "domain")
+
+
+@q("WITH " + " UNION ALL ".join(f"SELECT '{f}' AS feature, count(*) FILTER (WHERE {f} IS NULL OR isnan({f}::DOUBLE)) AS n_missing, count(*) FILTER (WHERE isinf({f}::DOUBLE)) AS n_infinite, coalesce(max({f}) FILTER (WHERE isfinite({f}::DOUBLE)) = min({f}) FILTER (WHERE isfinite({f}::DOUBLE)), true) AS constant FROM stylometric_features" for f in FEATURES).join(("x AS (", ") SELECT feature, n_missing, n_infinite, constant FROM x")))
+def validation_report(s, d):
+    return quality.validation(_features(s, d), FEATURES).drop("approx_rate")
+
+
+@q("WITH " + _BASE + ", m AS (SELECT " + ", ".join(f"median({f}) AS m_{f}" for f in FEATURES) + " FROM base) SELECT row_id, " + ", ".join(f"round(coalesce({f}, m_{f}, 0), 6) AS {f}" for f in FEATURES) + " FROM base CROSS JOIN m")
+def fill_median(s, d):
+    return quality.fill_plain(_features(s, d), FEATURES).select("row_id", *[F.round(f, 6).alias(f) for f in FEATURES])
+
+
+@q("WITH " + _BASE + ", m AS (SELECT " + ", ".join(f"avg({f}) AS m_{f}" for f in FEATURES) + " FROM base) SELECT row_id, " + ", ".join(f"round(coalesce({f}, m_{f}, 0), 5) AS {f}" for f in FEATURES) + " FROM base CROSS JOIN m")
+def fill_mean(s, d):
+    return quality.fill_plain(_features(s, d), FEATURES, "mean").select("row_id", *[F.round(f, 5).alias(f) for f in FEATURES])
+
+
+@q()
+def quick_clean(s, d):
+    return quality.quick_clean(_features(s, d))[0]
+
+
+@q()
+def significance_by_family(s, d):
+    return stats.summary_by_family(stats.significance(_features(s, d), FEATURES, "is_ai"), {"lexical": FEATURES[:4], "syntactic": FEATURES[4:]})
+
+
 _PRED = "p AS (SELECT is_ai AS y, CASE WHEN avg_sentence_length > 13 THEN 1 ELSE 0 END AS z, avg_word_length AS score FROM base WHERE is_ai IS NOT NULL AND avg_sentence_length IS NOT NULL)"
 
 
