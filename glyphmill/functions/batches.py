@@ -10,8 +10,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
-def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, object]], schema: str | StructType) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch, handed over as column lists.
+def slices(batches: Iterator[pa.RecordBatch], rows: int | None) -> Iterator[pa.RecordBatch]:
+    """The batches that aren't empty, cut to at most ``rows`` rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows or max(1, batch.num_rows)):
+            yield batch.slice(at, rows or batch.num_rows)
+
+
+def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, object]], schema: str | StructType, rows: int | None = None) -> DataFrame:
+    """Apply ``fn`` to each Arrow batch, handed over as column lists; to parts of ``rows`` rows, if many rows come out of one.
 
     ``fn`` returns the output columns (lists or numpy arrays of one length, which may differ
     from the input's). Nothing is kept between batches, so memory is bounded by a batch.
@@ -20,9 +27,7 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, object]
     arrow = to_arrow_schema(target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, rows):
             columns = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
             out = fn(columns)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type, from_pandas=True) for f in arrow], schema=arrow)
