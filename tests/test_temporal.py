@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 
+import duckdb
 import pytest
 
 from glyphmill.plans import coherent, temporal
@@ -111,3 +112,17 @@ def test_mention_windows_against_counting(spark):
     shares = [every.count(x) / len(every) for x in set(every)]
     assert scales[1]["competitor_scale_entropy"] == pytest.approx(-sum(p * math.log2(p) for p in shares), abs=1e-6)
     assert contexts[2]["micro_macro_competitor_ratio"] == 1 and contexts[2]["meso_pragmatic_necessity_rate"] == 0 and scales[2]["scale_consistency_score"] == 1
+
+
+def test_relation_statistics_at_ties_of_the_sixth_digit(spark):
+    rng = random.Random(9)
+    schema = "doc_id bigint, seq bigint, e1 string, e2 string, p1 bigint, p2 bigint, relation string, confidence double"
+    rows = [(d, 10 * a + b - a, f"a{a}", f"b{b}", 7 * a, 9 * b, rng.choice(("BEFORE", "AFTER")), 0.5 + rng.randrange(1000) / 2000) for d in range(300) for b in range(10, 0, -1) for a in range(max(0, b - 5), b)]
+    con = duckdb.connect(config={"threads": 1})
+    con.execute("CREATE TABLE documents (doc_id BIGINT); CREATE TABLE relations (doc_id BIGINT, seq BIGINT, e1 VARCHAR, e2 VARCHAR, p1 BIGINT, p2 BIGINT, relation VARCHAR, confidence DOUBLE)")
+    con.executemany("INSERT INTO documents VALUES (?)", [(d,) for d in range(301)])
+    con.execute("INSERT INTO relations VALUES " + ", ".join(map(str, rows)))
+    shuffled = rng.sample(rows, len(rows))
+    tables = {"documents": spark.createDataFrame([(d,) for d in range(301)], "doc_id bigint"), "relations": spark.createDataFrame(shuffled, schema)}
+    got = sorted(tuple(r) for r in on_spark(temporal.SPARK_SQL["relation_statistics"], tables, spark).collect())
+    assert got == sorted(tuple(map(float, r)) for r in con.execute(temporal.SQL["relation_statistics"][0]).fetchall())
