@@ -5,6 +5,7 @@ import random
 import duckdb
 import pytest
 
+from glyphmill.operators import graphs
 from glyphmill.plans import coherent, temporal
 from glyphmill.plans.portable import on_spark
 
@@ -126,3 +127,24 @@ def test_relation_statistics_at_ties_of_the_sixth_digit(spark):
     tables = {"documents": spark.createDataFrame([(d,) for d in range(301)], "doc_id bigint"), "relations": spark.createDataFrame(shuffled, schema)}
     got = sorted(tuple(r) for r in on_spark(temporal.SPARK_SQL["relation_statistics"], tables, spark).collect())
     assert got == sorted(tuple(map(float, r)) for r in con.execute(temporal.SQL["relation_statistics"][0]).fetchall())
+
+
+def test_path_measures_of_graphs_of_any_size(spark):
+    rng = random.Random(11)
+    chain = [(1, f"w{i:03}", f"w{i + 1:03}") for i in range(249)]
+    wide = sorted({(2, *(f"w{x:03}" for x in sorted(rng.sample(range(300), 2)))) for _ in range(900)})
+    got = {r["doc_id"]: r for r in graphs.shapes(spark.createDataFrame(chain + wide, "doc_id bigint, src string, dst string")).collect()}
+    assert (got[1]["nodes"], got[1]["longest_path"], got[1]["mean_depth"]) == (250, 249, 124.5) and got[1]["global_coherence"] == pytest.approx(249 / (250 * 249 / 2))
+    out: dict = {}
+    for _, a, b in wide:
+        out.setdefault(a, set()).add(b)
+
+    def below(x):
+        seen, stack = set(), [x]
+        while stack:
+            new = out.get(stack.pop(), set()) - seen
+            seen |= new
+            stack += new
+        return seen
+
+    assert got[2]["nodes"] > 200 and got[2]["global_coherence"] == pytest.approx(len(wide) / sum(len(below(x)) for x in out)) and got[2]["mean_depth"] > 0
