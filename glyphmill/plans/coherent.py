@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.operators import coherence, contracts, coref
 from glyphmill.plans.portable import CONTRACTS, contract, query
-from glyphmill.session import read_table
+from glyphmill.session import materialize, read_table
 
 _PAIRS = """pairs AS (SELECT a.doc, a.i, b.i AS j, list_cosine_similarity(a.v, b.v) AS sim FROM vecs AS a JOIN vecs AS b ON a.doc = b.doc AND a.i < b.i)"""
 #: The vectors table stands for sentences: so many that follow each other are a document, the label is the topic.
@@ -45,7 +45,7 @@ SQL["topic_spread"] = ("""WITH c AS (SELECT doc, topic, CAST(count(*) AS DOUBLE)
 h AS (SELECT doc, max(k) AS k, max(n) / max(total) AS top, -sum(n / total * ln(n / total)) AS entropy, 2 * sum(rk * n) / (max(k) * max(total)) - (max(k) + 1) / CAST(max(k) AS DOUBLE) AS gini FROM r GROUP BY doc)
 SELECT doc, CAST(k AS BIGINT) AS num_distinct_topics, round(top, 6) AS dominant_topic_proportion, round(entropy, 6) AS topic_entropy, round(entropy / CASE WHEN k > 1 THEN ln(k) ELSE 1 END, 6) AS topic_diversity, round(least(1, greatest(0, gini)), 6) AS topic_concentration FROM h""", ("topics",))
 
-contract("mentions", lambda s, d: coref.mentions(CONTRACTS["tokens"][0](s, d)), (*contracts.oracle("sents", "tokens"), f"mentions AS ({coref.MENTIONS_SQL})"))
+contract("mentions", lambda s, d: materialize(coref.mentions_of(read_table(s, d, "documents"))), (*contracts.oracle("sents", "tokens"), f"mentions AS ({coref.MENTIONS_SQL})"))
 SQL["mention_chains"] = ("""WITH b AS (SELECT *, tok_idx - n_tokens + 1 AS begin FROM mentions), c AS (SELECT doc_id, chain, count(*) AS len, max(sent_idx) - min(sent_idx) AS span, max(begin) - min(begin) AS width FROM b GROUP BY doc_id, chain),
 g AS (SELECT doc_id, chain, lead(begin) OVER (PARTITION BY doc_id, chain ORDER BY tok_idx) - begin AS gap FROM b), v AS (SELECT doc_id, chain, stddev_pop(gap) / NULLIF(avg(gap), 0) AS cv FROM g GROUP BY doc_id, chain),
 p AS (SELECT doc_id, avg(CASE WHEN is_pronoun THEN 1.0e0 ELSE 0.0e0 END) AS pr FROM mentions GROUP BY doc_id),
@@ -97,7 +97,7 @@ SELECT d.doc_id, CAST(coalesce(singles, 0) AS BIGINT) AS singleton_count, round(
 
 QUERIES, ORACLE = {}, {}
 for _name, (_sql, _tables) in SQL.items():
-    QUERIES[_name], ORACLE[_name] = query(_name, _sql, _tables)
+    QUERIES[_name], ORACLE[_name] = query(_name, _sql, _tables, held=coref.HELD, by="mentions")
 
 
 def components(spark: SparkSession, d: str) -> DataFrame:

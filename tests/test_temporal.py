@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 
-from glyphmill.operators import graphs
+from glyphmill.operators import contracts, coref, graphs
 from glyphmill.plans import coherent, temporal
 from glyphmill.plans.portable import on_spark
 
@@ -148,3 +148,21 @@ def test_path_measures_of_graphs_of_any_size(spark):
         return seen
 
     assert got[2]["nodes"] > 200 and got[2]["global_coherence"] == pytest.approx(len(wide) / sum(len(below(x)) for x in out)) and got[2]["mean_depth"] > 0
+
+
+def test_mentions_are_found_without_a_shuffle_or_join_of_tokens(spark):
+    texts = ["The old Alice met Bob. It was her.  She saw Paris!", "... He left. Then a Bob came.\nBob", None, "", "It. He. They", "We saw the Great Émile's 7 Dogs? their Rex", "\u00a0! Zed and Zed"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    key = ["doc_id", "tok_idx"]
+    tokens = contracts.tokens(docs)
+    names = ["doc_id", "sent_idx", "tok_idx", "is_pronoun", "n_tokens", "chain"]
+    own = coref.mentions_of(docs)
+    want = [r[:] for r in coref.mentions(tokens).select(names).sort(key).collect()]
+    assert len(want) > 10 and [r[:] for r in own.select(names).sort(key).collect()] == want
+    assert sorted(r[:] for r in coref.HELD["entities"](own).collect()) == sorted(r[:] for r in contracts.entities(tokens).collect()) == sorted(r[:] for r in contracts.entities_of(docs).collect())
+    sizes = {r["doc_id"]: r["n"] for r in tokens.groupBy("doc_id").agg({"*": "count"}).toDF("doc_id", "n").collect()}
+    assert all(sizes[r["doc_id"]] == r["n"] for r in coref.HELD["doc_sizes"](own).collect())
+    plan = spark._jvm.PythonSQLUtils.explainString(coherent.CONTRACTS["entities"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution(), "simple")
+    assert "Exchange" not in plan and "Join" not in own._jdf.queryExecution().executedPlan().toString()
+    seen = coherent.QUERIES["mention_scales"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in seen.replace("Generated", "") and "tok_idx" in seen
