@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,9 +97,29 @@ s AS (SELECT e.doc_id, count(*) AS singles, avg(CAST(length(e.entity) - length(r
 SELECT d.doc_id, CAST(coalesce(singles, 0) AS BIGINT) AS singleton_count, round(coalesce(singles, 0) / CAST(greatest(1, coalesce(singles, 0) + coalesce(in_chains, 0)) AS DOUBLE), 6) AS singleton_ratio, 0.0e0 AS singleton_avg_modifiers, 0.0e0 AS singleton_descriptive_rate, 0.0e0 AS singleton_vs_chain_first_ratio, 0.0e0 AS singleton_modification_entropy,
   round(coalesce(toks, 0), 6) AS singleton_avg_tokens FROM documents AS d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id""", ("documents", "mentions", "entities"))
 
+
+
+def _merged(sql: str) -> str:
+    """``sql`` for Spark: what is joined by document is merged, as the compressed size of the mentions says little about their rows (hints on tables don't reach into CTEs)."""
+    for x in "dekm":
+        if names := re.findall(rf"LEFT JOIN (?:\w+ AS )?(\w+) ON \w+\.doc_id = {x}\.doc_id", sql):
+            sql = sql.replace(f"SELECT {x}.doc_id", f"SELECT /*+ MERGE({', '.join(names)}) */ {x}.doc_id", 1)
+    return sql
+
+
+# The Spark text of queries whose SQL joins the mentions with themselves: chains and documents are summed up one after the other.
+SPARK_SQL = {
+    "mention_chains": """WITH b AS (SELECT *, tok_idx - n_tokens + 1 AS begin FROM mentions), g AS (SELECT *, lead(begin) OVER (PARTITION BY doc_id, chain ORDER BY tok_idx) - begin AS gap FROM b),
+c AS (SELECT doc_id, chain, count(*) AS len, count_if(is_pronoun) AS pronouns, max(sent_idx) - min(sent_idx) AS span, max(begin) - min(begin) AS width, stddev_pop(gap) / NULLIF(avg(gap), 0) AS cv, max(doc_tokens) AS n FROM g GROUP BY doc_id, chain),
+a AS (SELECT doc_id, sum(pronouns) / CAST(sum(len) AS DOUBLE) AS pr, avg(CASE WHEN len = 2 THEN 1.0D WHEN len > 2 THEN 0.0D END) AS minimal, count_if(len = 2) AS minimal_n, avg(CASE WHEN len >= 2 THEN len END) AS mean_len, var_pop(CASE WHEN len >= 2 THEN len END) AS var_len, avg(CASE WHEN len >= 2 THEN CASE WHEN span >= 3 THEN 1.0D ELSE 0.0D END END) AS far,
+  avg(CASE WHEN len >= 2 THEN least(width / CAST(n AS DOUBLE), 1.0D) * CASE WHEN len <= 2 THEN 1.0D ELSE 1.0D / (1.0D + coalesce(cv, 0)) END END) AS conn FROM c GROUP BY doc_id)
+SELECT /*+ MERGE(a) */ d.doc_id, """ + SQL["mention_chains"][0].partition("SELECT d.doc_id, ")[2].replace(" LEFT JOIN p ON p.doc_id = d.doc_id", ""),
+}
+
 QUERIES, ORACLE = {}, {}
 for _name, (_sql, _tables) in SQL.items():
-    QUERIES[_name], ORACLE[_name] = query(_name, _sql, _tables, held=coref.HELD, by="mentions")
+    _held = "mentions" in _tables
+    QUERIES[_name], ORACLE[_name] = query(_name, _sql, _tables, SPARK_SQL.get(_name, _merged(_sql) if _held else _sql), coref.HELD if _held else None, "mentions")
 
 
 def components(spark: SparkSession, d: str) -> DataFrame:

@@ -166,3 +166,9 @@ def test_mentions_are_found_without_a_shuffle_or_join_of_tokens(spark):
     assert "Exchange" not in plan and "Join" not in own._jdf.queryExecution().executedPlan().toString()
     seen = coherent.QUERIES["mention_scales"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in seen.replace("Generated", "") and "tok_idx" in seen
+
+
+@pytest.mark.parametrize("name", ["mention_chains", "mention_scales", "singletons"])
+def test_mention_queries_broadcast_nothing(spark, name):
+    plan = coherent.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
