@@ -96,7 +96,7 @@ def calibration_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 def perturbation(spark: SparkSession, d: str) -> DataFrame:
     """Perturbation discrepancy: how far a document's likelihood lies from that of its perturbed copies."""
-    return lm.perturbation_discrepancy(contracts.tokens(read_table(spark, d, "documents")))
+    return lm.perturbation_of(read_table(spark, d, "documents"))
 
 
 QUERIES |= {f.__name__: f for f in (calibration_alignment, perturbation)}

@@ -1,10 +1,11 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
-from glyphmill.operators import coherence, contracts, graphs, lexicons, ml, quality, stats
+from glyphmill.operators import coherence, contracts, graphs, lexicons, lm, ml, quality, stats
 
 
 def test_markup_hidden_and_normal_forms(spark):
@@ -117,3 +118,25 @@ def test_queries_run_on_the_smallest_tables(spark, name):
     from glyphmill.plans import catalog
 
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.parametrize("block", [4_000_000, 30])
+def test_perturbation_in_rows_equals_perturbation_by_joins(spark, monkeypatch, block):
+    monkeypatch.setattr(lm, "BLOCK", block)
+    rng = random.Random(3)
+    words = ["the", "garden", "walked", "Émile", "it's", "quiet", "river", "7", "and", "ox", "evening"]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "", "", ".", "?!", ","]) for _ in range(n)) for n in (1, 5, 20, 21, 22, 60, 150, 900)] + [None, "", "...", "an ox " * 15, "same word same word. " * 9]
+    docs = spark.createDataFrame([(7 * i - 3, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r[0]: r[1] for r in lm.perturbation_of(docs).collect()}
+    want = {r[0]: r[1] for r in lm.perturbation_discrepancy(contracts.tokens(docs)).collect()}
+    assert set(got) == set(want) and len(got) == len(texts) - 3 and sum(x is not None for x in got.values()) > 5
+    for k, x in want.items():
+        assert got[k] == (None if x is None else pytest.approx(x, abs=2e-6)), k
+    assert lm.perturbation_of(docs.limit(0)).count() == 0
+
+
+def test_perturbation_moves_no_tokens(spark):
+    from glyphmill.plans import catalog
+
+    plan = catalog.QUERIES["perturbation"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
