@@ -172,3 +172,26 @@ def test_mentions_are_found_without_a_shuffle_or_join_of_tokens(spark):
 def test_mention_queries_broadcast_nothing(spark, name):
     plan = coherent.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_features_by_row_equal_those_of_the_tables(spark):
+    rng = random.Random(21)
+    words = ["walked", "Going", "seized", "realize", "the", "during", "yesterday", "next", "morning", "will", "shall", "Then", "now", "unify", "creates", "ed", "Bob", "red", "later", "week", "moving", "ended", "used"]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "", "", ".", "?!", ","]) for _ in range(n)) for n in (1, 2, 3, 5, 8, 13, 20, 40, 80, 150, 300)] + [None, "", "...", "We walked.", "It ended and ended, ended.", "No act in May."]
+    docs = spark.createDataFrame([(3 * i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    tokens = contracts.tokens(docs)
+    verbs = temporal.acts(tokens)
+    want = temporal.features(docs, verbs, temporal.times(tokens), temporal.relations(verbs))
+    got = temporal.features_of(docs)
+    assert got.dtypes == want.dtypes
+    key = lambda r: r["doc_id"]
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_relations_of_documents_of_any_length(spark):
+    docs = spark.createDataFrame([(1, "a, " * 30_000 + "walked and ended.")], "doc_id bigint, text string")
+    row = temporal.features_of(docs).first()
+    ids = (60_000, 60_002)
+    assert row["temp_num_events"] == 2 and row["temp_rel_mean_confidence"] == pytest.approx(0.5 + (ids[0] * 7919 + ids[1] * 104729) % 1000 / 2000, abs=1e-6)
