@@ -195,3 +195,15 @@ def test_relations_of_documents_of_any_length(spark):
     row = temporal.features_of(docs).first()
     ids = (60_000, 60_002)
     assert row["temp_num_events"] == 2 and row["temp_rel_mean_confidence"] == pytest.approx(0.5 + (ids[0] * 7919 + ids[1] * 104729) % 1000 / 2000, abs=1e-6)
+
+
+def test_cycles_behind_paths_without_return():
+    ahead = [(f"{a:02}", f"{b:02}") for a in range(24) for b in range(a + 1, 24)]
+    assert graphs.found_cycles(sorted([*ahead, ("00", "24"), ("24", "00")])) == (1, 2, 0)
+    rng = random.Random(8)
+    for _ in range(200):
+        edges = sorted({(f"{rng.randrange(7)}", f"{rng.randrange(7)}") for _ in range(rng.randint(1, 25))})
+        out = {a: {y for x, y in edges if x == a} for a, _ in edges}
+        want = {p for n in range(1, 8) for p in itertools.permutations(sorted({x for e in edges for x in e}), n) if p[0] == min(p) and all(y in out.get(x, ()) for x, y in zip(p, (*p[1:], p[0])))} if len(out) < 6 else None
+        if want is not None and len(want) < 1000:
+            assert graphs.found_cycles(edges) == (len(want), len({e for p in want for e in zip(p, (*p[1:], p[0]))}), 0)
